@@ -42,8 +42,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, each: int, least: int = 1) -> int:
-    """How many parts of about ``each`` bytes the input has; parts grow with the data, their size doesn't."""
-    return max(least, -(-min(input_bytes(df), 1 << 60) // each))
+    """How many parts of about ``each`` bytes the input has; parts grow with the data, their size doesn't. Where Catalyst
+    can't estimate the input, the session's number of shuffle partitions."""
+    n = -(-input_bytes(df) // each)
+    return max(least, n) if n < 1 << 20 else max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(key: Column, *keys: Column) -> Column:
