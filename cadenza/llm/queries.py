@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._spark import table
+from .chat import TURNS, canonical_turns, digests, format_turns
 from .decontam import leaks
 from .mixing import mixed
 from .neardup import NearDup, near_duplicates
 from .quality import BASE, ledger, passes
 from .ring import shard
 from .secrets import secrets
+from .subdedup import dedup_substrings
 from .tokenstore import tokenized
 from .toxicity import flag
 
@@ -55,3 +58,14 @@ def op3_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = canonical_turns(table(spark, sf_dir, "conversations"))
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], TURNS)
+    return digests(format_turns(turns.unionByName(more)))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
