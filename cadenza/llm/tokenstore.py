@@ -16,13 +16,13 @@ files are never read. Paths go through Arrow's file systems; local files are mem
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,19 +33,23 @@ from ._spark import bounded, parts_for, scratch
 
 #: Bytes of Catalyst's size estimate a part.
 PART_BYTES = 24 << 20
-_CACHE = 400_000
-#: Between two characters that aren't white space, a single blank starts a new pre-token whatever stands before it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r" (?:\s|(?<=\s ))")
+#: Pieces kept by a worker.
+_CACHE = 600_000
+#: Blanks that stand beside white space or at a text's border.
+_WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+_ODD = rf"\A | \z| {_WHITE}|{_WHITE} |\x01"
+#: A mark behind a letter starts a pre-token whatever follows; \x01 tells pieces cut there from those led by a blank.
+_MARK = r"(\p{L})([.,;:!?])"
 
 
 class Encoder:
     """The tokenizer behind a cache of blank-led pieces.
 
     Byte-level pre-tokenization never lets a token cross the border before a single blank that stands between two other
-    characters. So texts are cut there, known pieces come from the cache and the unknown ones of
-    a batch are encoded in one call: each of them starts with the only blank it holds, hence its first
-    token is the only one whose string starts with the blank's byte symbol.
+    characters, nor the one between a letter and a punctuation mark. So a column of texts is cut there by Arrow, its distinct
+    pieces are looked up, the unknown ones are encoded together (a led piece's first token is the only one that starts with
+    the blank's byte symbol), and the texts' ids are gathered from the pieces' by position. Texts with other blanks
+    are encoded on their own.
     """
 
     def __init__(self, path: str, end: int = 0) -> None:
@@ -60,48 +64,71 @@ class Encoder:
         for token, k in self.tokenizer.get_vocab().items():
             self.leads[k] = token.startswith("Ġ")
         self.end = np.array([end], self.dtype).tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as bytes."""
-        cut = [self._pieces(x) for x in texts]
-        cache = self.cache
-        fresh = list({p for pieces in cut for p in pieces if p not in cache})
-        if len(cache) + len(fresh) > _CACHE:
-            cache.clear()
-            fresh = list({p for pieces in cut for p in pieces})
-        led = [p for p in fresh if p[:1] == " " and p.find(" ", 1) < 0]
-        for at in range(0, len(led), 4096):
-            some = led[at : at + 4096]
-            ids = self._ids("".join(some))
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) != len(some):  # not a byte-level vocabulary of the expected kind
-                for p in some:
-                    cache[p] = self._ids(p).tobytes()
-                continue
-            raw, w = ids.tobytes(), self.width
-            ends = [*(starts[1:] * w).tolist(), len(raw)]
-            for p, a, b in zip(some, (starts * w).tolist(), ends, strict=True):
-                cache[p] = raw[a:b]
-        others = [p for p in fresh if p not in cache]
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, self.dtype).tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, pieces)) + self.end for pieces in cut]
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if not text:
-            return []
-        if _ODD.search(text):
-            return _CUT.split(text)
-        head, *rest = text.split(" ")
-        if not head or (rest and not rest[-1]):
-            return _CUT.split(text)
-        return [head, *(" " + x for x in rest)]
+        self.led: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Pieces behind a blank as they are, pieces behind a letter with \x01 in front. The latter are encoded behind a letter too, whose
+        only token is then left out."""
+        width, letter = self.width, self._each([" a"])[0]
+        for bare in (False, True):
+            kind = [w for w in words if w and (w[0] == "\x01") == bare]
+            joint, odd = (kind, []) if len(letter) == width or not bare else ([], kind)
+            for at in range(0, len(joint), 8192):
+                some = joint[at : at + 8192]
+                text = " a" + " a".join([w[1:] for w in some]) if bare else " " + " ".join(some)
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+                starts = np.flatnonzero(self.leads[ids])
+                if len(starts) != len(some):  # not a byte-level vocabulary of the expected kind
+                    odd += some
+                    continue
+                raw, skip = ids.tobytes(), width * bare
+                cuts = [*(starts * width).tolist(), len(raw)]
+                self.led.update((w, raw[a + skip : b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+            self.led.update(zip(odd, self._each([w[1:] if bare else " " + w for w in odd]), strict=True))
+        self.led[""] = self._each([" "])[0]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, the end id behind each text, and the texts' numbers of ids."""
+        column = column.fill_null("")
+        odd = np.flatnonzero(pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False))
+        whole = dict(zip(odd.tolist(), self._each(column.take(pa.array(odd)).to_pylist()), strict=True))
+        if whole:
+            mask = np.zeros(len(column), bool)
+            mask[odd] = True
+            column = pc.if_else(pa.array(mask), "", column)
+        lists = pc.split_pattern(pc.replace_substring_regex(column, _MARK, "\\1 \x01\\2"), " ")
+        offs = lists.offsets.to_numpy().astype(np.int64)
+        offs -= offs[0]
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        rest = np.ones(len(codes), bool)
+        rest[offs[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[codes[rest]] = True
+        words = [w if u else "" for w, u in zip(words, used.tolist(), strict=True)]
+        self._learn(list(set(words).difference(self.led)))
+        pool = [*map(self.led.__getitem__, words), self.end]
+        heads = self._each(lists.flatten().take(pa.array(offs[:-1])).to_pylist())
+        pool += [whole.get(k, h) for k, h in enumerate(heads)]
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // self.width
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(pool), self.dtype)
+        n = len(column)
+        piece = np.empty(len(codes) + n, np.int64)
+        at = np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offs))
+        piece[at] = codes
+        piece[offs[:-1] + np.arange(n)] = len(words) + 1 + np.arange(n)
+        ends = offs[1:] + np.arange(n)
+        piece[ends] = len(words)
+        counts = sizes[piece]
+        lengths = np.diff(np.append(0, np.cumsum(counts)[ends]))
+        ids = flat[T.ranges(begins[piece], counts)]
+        if len(self.led) > _CACHE:  # frequent words are in the last batch too
+            self.led = {w: self.led[w] for w in words}
+        return ids, lengths
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -142,13 +169,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part
         out, position, local = None, 0, 0
         files, root = _files(folder)
         try:
-            for b in bounded(batches, 4 << 20):
+            for b in bounded(batches, 8 << 20):
                 if out is None:
                     out = files.open_output_stream(f"{root}/{name}")
-                ids = enc.encode([x or "" for x in b.column(1).to_pylist()])
-                out.write(b"".join(ids))
-                n = np.array([len(x) // enc.width for x in ids], np.int64)
-                k = len(ids)
+                ids, n = enc.encode(b.column(1))
+                out.write(ids.tobytes())
+                k = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c.partitionId()] * k, pa.int32()), pa.array([name] * k), pa.array([enc.width] * k, pa.int32()), pa.array(np.arange(position, position + k)), b.column(0), pa.array(n), pa.array(local + np.cumsum(n) - n)],
                     ["part", "file", "width", "position", "doc_id", "n_tokens", "local_start"],
@@ -179,7 +205,7 @@ def _write_offsets(spark: SparkSession, folder: str) -> None:
         name, out, stop = None, None, 0
         for b in batches:
             for k in b.column(0).unique().to_pylist():
-                own = b.filter(pa.compute.equal(b.column(0), k))
+                own = b.filter(pc.equal(b.column(0), k))
                 if k != name:
                     if out is not None:
                         out.write(np.array([stop], "<u8").tobytes())
@@ -192,8 +218,6 @@ def _write_offsets(spark: SparkSession, folder: str) -> None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], ["done"])
 
-    import pyarrow.compute  # noqa: F401
-
     rows.mapInArrow(write, "done int").agg(F.sum("done")).collect()
 
 
