@@ -117,25 +117,32 @@ class Index:
                 order = np.argsort(keys, kind="stable")
                 self.short.append((n, keys[order], np.array(own, np.int64)[order]))
 
-    def candidates(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (item, estimated start) of one chunk's words; starts count from the chunk's first word."""
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (item, estimated start) of one chunk's words, in this order, and a word of the text each was found at; all
+        count from the chunk's first word."""
         found = []
         position = np.arange(len(h))
         left = np.repeat(first[1:], np.diff(first)) - position  # words from here to the text's end
         for steps, seed, picks, allowed, keys, entries in self.tables:
             at, key = walk_keys(h, position[left >= steps], seed, picks, allowed)
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            rows = T.ranges(lo, hi - lo)
-            if len(rows):
-                found.append(np.stack([entries[rows, 0], np.repeat(at, hi - lo) - entries[rows, 1]], 1))
+            found.append(self._rows(keys, key, at, entries))
         for n, keys, own in self.short:
             at = position[: max(0, len(h) - n + 1)][left[: max(0, len(h) - n + 1)] >= n]
-            key = T.gram_hash(h, n)[at]
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            rows = T.ranges(lo, hi - lo)
-            if len(rows):
-                found.append(np.stack([own[rows], np.repeat(at, hi - lo)], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.append(self._rows(keys, T.gram_hash(h, n)[at], at, np.stack([own, np.zeros(len(own), np.int64)], 1)))
+        rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        text = np.searchsorted(first, rows[:, 2], "right")
+        _, at = np.unique(rows[:, 0] * (1 << 44) + (rows[:, 1] + (1 << 20)) * 2 + text % 2, return_index=True)
+        return rows[at, :2], rows[at, 2]
+
+    @staticmethod
+    def _rows(keys: np.ndarray, key: np.ndarray, at: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """(item, estimated start, position) of every key that is in the table."""
+        lo = np.searchsorted(keys, key, "left")
+        hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
+        lo, at = lo[hit], at[hit]
+        n = np.searchsorted(keys, key[hit], "right") - lo
+        own, at = entries[T.ranges(lo, n)], np.repeat(at, n)
+        return np.stack([own[:, 0], at - own[:, 1], at], 1)
 
 
 def best_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -144,7 +151,7 @@ def best_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int
     if not n:
         return None
     row, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    step = np.arange(n + 1)
+    step, first = np.arange(n + 1), np.zeros(1, np.int64)
     for k, w in enumerate(item.tolist(), 1):
         up, diagonal = row + 1, np.empty(n + 1, np.int64)
         diagonal[0] = k
@@ -152,7 +159,7 @@ def best_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int
         take = diagonal <= up
         take[0] = False
         best = np.where(take, diagonal, up)
-        from_ = np.where(take, np.append(0, begin[:-1]), begin)
+        from_ = np.where(take, np.concatenate([first, begin[:-1]]), begin)
         shifted = (best - step) * (n + 2) + step
         low = np.minimum.accumulate(shifted)
         source = low % (n + 2)
@@ -163,31 +170,48 @@ def best_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int
     return (int(row[end]), int(begin[end]), end) if row[end] <= most else None
 
 
-def _hits(index: Index, h: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
-    out: list[dict[int, tuple]] = [{} for _ in range(len(offs) - 1)]
-    found = index.candidates(h, first)
-    doc = np.searchsorted(first, np.clip(found[:, 1], 0, None), "right") - 1
-    seen: dict[tuple[int, int], list[int]] = {}
-    for (k, at), d in zip(found.tolist(), doc.tolist(), strict=True):
-        w = index.words[k]
-        n, most = len(w), index.op.most(len(index.words[k]))
-        known = out[d].get(k)
-        if known is not None and known[0] == 0:
-            continue
-        lo, hi = int(first[d]), int(first[d + 1])
-        if at >= lo and at + n <= hi and np.array_equal(h[at : at + n], w):
-            out[d][k] = (0, at, at + n)
+def _nearest(item: np.ndarray, at: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int) -> dict[int, tuple[int, int, int]]:
+    """(distance, start, end) by text of one item's candidates: ``at`` are estimated starts, lo and hi the borders of their texts (lo names
+    the text)."""
+    n, out = len(item), {}
+    inside = np.flatnonzero((at >= lo) & (at + n <= hi))
+    same = inside[(h[at[inside, None] + np.arange(n)] == item).all(axis=1)]
+    for k in same[::-1].tolist():
+        out[int(lo[k])] = (0, int(at[k]), int(at[k]) + n)
+    if not most:
+        return out
+    rest = np.flatnonzero(~np.isin(lo, lo[same]))
+    # A window within the edits allowed shares at least n - most words with the item.
+    a, z = np.maximum(lo, at - 2 * most)[rest], np.minimum(hi, at + n + 2 * most)[rest]
+    where = a[:, None] + np.arange(n + 4 * most)
+    shared = (np.isin(h[np.minimum(where, len(h) - 1)], item) & (where < z[:, None])).sum(axis=1)
+    last: dict[int, int] = {}
+    for k in np.flatnonzero(shared >= n - most).tolist():
+        text, start = int(lo[rest[k]]), int(at[rest[k]])
+        if start - last.get(text, -99) <= 2:
             continue
-        if not most or any(abs(at - x) <= 2 for x in seen.get((d, k), ())):
-            continue
-        seen.setdefault((d, k), []).append(at)
-        a, z = max(lo, at - 2 * most), min(hi, at + n + 2 * most)
-        best = best_window(w, h[a:z], most)
-        if best is not None and (known is None or best[0] < known[0]):
-            out[d][k] = (best[0], a + best[1], a + best[2])
-    rows = []
-    for d, own in enumerate(out):
-        rows.append([{"item_id": int(index.ids[k]), "distance": dist, "start": int(starts[a] - offs[d]), "end": int(ends[z - 1] - offs[d])} for k, (dist, a, z) in sorted(own.items(), key=lambda x: index.ids[x[0]])])
+        last[text] = start
+        best = best_window(item, h[a[k] : z[k]], most)
+        if best is not None and (text not in out or best[0] < out[text][0]):
+            out[text] = (best[0], int(a[k]) + best[1], int(a[k]) + best[2])
+    return out
+
+
+def _hits(index: Index, h: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
+    rows: list[list[dict]] = [[] for _ in range(len(offs) - 1)]
+    found, anchor = index.candidates(h, first)
+    doc = np.searchsorted(first, anchor, "right") - 1
+    cuts = np.searchsorted(found[:, 0], np.arange(len(index.words) + 1))
+    texts = {int(first[d]): d for d in np.unique(doc).tolist()}
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[k], cuts[k + 1])
+        item = index.words[k]
+        near = _nearest(item, found[own, 1], h, first[doc[own]], first[doc[own] + 1], index.op.most(len(item)))
+        for text, (distance, a, z) in near.items():
+            d = texts[text]
+            rows[d].append({"item_id": int(index.ids[k]), "distance": distance, "start": int(starts[a] - offs[d]), "end": int(ends[z - 1] - offs[d])})
+    for own in rows:
+        own.sort(key=lambda x: (x["item_id"], x["distance"], x["start"]))
     return rows
 
 
@@ -204,7 +228,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], op: Decontam) -> DataFr
         for b in bounded(batches):
             kind = b.schema.field(hits).type
             rows: list[list[dict]] = []
-            for _, _, buf, offs in T.chunks(b.column(text)):
+            for _, _, buf, offs in T.chunks(b.column(text), 2 * T.CHUNK):
                 h, first, starts, ends = _words(buf, offs)
                 rows += _hits(cache[0], h, first, starts, ends, offs)
             if any(len(x) for x in b.column(hits).to_pylist()):
