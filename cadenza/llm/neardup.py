@@ -7,8 +7,8 @@
    by signature batch; a pair is dropped as soon as the posterior probability (uniform prior) that its
    similarity reaches the threshold is below ``miss``. Survivors are verified on their full sets.
 4. Links are contracted to components. Buckets that still hold several components are searched
-   once more, now for every pair across components, in blocks of bounded size: so no link that
-   could join two components is left out, and no group is expanded into its pairs.
+   once more, now across components, in blocks of bounded size that compare and verify inside: so no link that
+   could join two components is left out, and no group is expanded into rows of pairs.
 
 ``bands`` is derived from ``rows``, the threshold and ``miss``, the chance that a pair exactly at the threshold
 shares no bucket. Nothing is capped: hot buckets, classes and components only ever pass through
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -175,12 +176,10 @@ def _pruned(pairs: DataFrame, op: NearDup) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, op: NearDup) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Neither text is repeated in a shuffle for its other pairs' sake
-    beyond the pairs that survived."""
+    """The pairs whose full sets reach the threshold."""
     num, den = op.threshold
 
     def run(batches):
-        last_id, last = None, None
         for x in bounded(batches, 4 << 20):
             a, b = x.column(0).to_pylist(), x.column(1).to_pylist()
             keep = []
@@ -202,51 +201,104 @@ def _verified(pairs: DataFrame, texts: DataFrame, op: NearDup) -> DataFrame:
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, op: NearDup) -> DataFrame:
-    """Pairs of different components that share a bucket (bucket, id, comp, sig) and survive.
+_KEYS = ["bucket", "p", "t"]
 
-    Rows outside a bucket's largest component are probes, all rows are targets; a bucket is cut into
-    blocks of about BLOCK probes by BLOCK targets, each a group of its own.
+
+def _blocks(rows: DataFrame, *order: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS, *order)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The blocks of a partition sorted by block, one at a time."""
+    held = None
+    for x in batches:
+        if not x.num_rows:
+            continue
+        x = pa.Table.from_batches([x]) if held is None else pa.concat_tables([held, pa.Table.from_batches([x])]).combine_chunks()
+        k = np.stack([x.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in _KEYS])
+        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield x.slice(lo, hi - lo).combine_chunks()
+        held = x.slice(edges[-1])
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _suspects(members: DataFrame, op: NearDup) -> DataFrame:
+    """Of the members (bucket, id, comp, sig, buckets) of mixed buckets, in blocks, those with a surviving partner in another component. The
+    first row of a block lists its pairs, the likeliest first.
+
+    Rows outside a bucket's largest component are probes, all rows are targets; a bucket is cut into blocks of about BLOCK
+    probes by BLOCK targets. A pair belongs to the first bucket it shares.
     """
     counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    top = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all_n"))
-    top = top.where("kinds > 1").select("bucket", F.col("top.comp").alias("main"), F.ceil(F.col("all_n") / BLOCK).cast("int").alias("kt"), F.greatest(F.lit(1), F.ceil((F.col("all_n") - F.col("top.n")) / BLOCK)).cast("int").alias("kp"), spread(F.col("bucket")).alias("h"))
+    top = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all_n"))
+    size = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    top = top.select("bucket", F.col("top.comp").alias("main"), size(F.col("all_n")).alias("kt"), size(F.col("all_n") - F.col("top.n")).alias("kp"), spread(F.col("bucket")).alias("h"))
     rows = members.withColumn("h", spread(F.col("bucket"))).join(top, ["bucket", "h"])
     dealt = lambda k: F.pmod(F.xxhash64("id", F.lit(5)), k).cast("int")
-    targets = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("kp") - 1)).alias("p"), dealt(F.col("kt")).alias("t"), F.lit(0).alias("probe"), "id", "comp", "sig")
-    probes = rows.where("comp <> main").select("bucket", dealt(F.col("kp")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("kt") - 1)).alias("t"), F.lit(1).alias("probe"), "id", "comp", "sig")
-    block = targets.unionByName(probes)
-    keys = ["bucket", "p", "t"]
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = block.repartition(n, *keys).sortWithinPartitions(*keys, "probe")
-
-    def groups(batches):
-        held = None
-        for x in batches:
-            if not x.num_rows:
-                continue
-            x = pa.Table.from_batches([x]) if held is None else pa.concat_tables([held, pa.Table.from_batches([x])]).combine_chunks()
-            k = np.stack([x.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
-            cut = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cut.tolist()]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                yield x.slice(lo, hi - lo)
-            held = x.slice(edges[-1])
-        if held is not None:
-            yield held
+    own = ["id", "comp", "sig", "buckets"]
+    targets = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("kp") - 1)).alias("p"), dealt(F.col("kt")).alias("t"), F.lit(0).alias("probe"), *own)
+    probes = rows.where("comp <> main").select("bucket", dealt(F.col("kp")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("kt") - 1)).alias("t"), F.lit(1).alias("probe"), *own)
 
     def run(batches):
-        for g in groups(batches):
-            ids, comp = (g.column(c).combine_chunks().to_numpy() for c in ("id", "comp"))
-            probe = g.column("probe").combine_chunks().to_numpy() == 1
+        for g in _groups(batches):
+            ids, comp, probe = (g.column(c).combine_chunks().to_numpy() for c in ("id", "comp", "probe"))
             sig = _matrix(g.column("sig"), op.size)
-            i, j = np.nonzero(comp[probe][:, None] != comp[~probe][None, :])
+            bands = g.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, op.bands)
+            a, b = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
+            i, j = np.nonzero(comp[a][:, None] != comp[b][None, :])
+            i, j = a[i], b[j]
+            keep = survivors(sig[i], sig[j], op) if len(i) else i
+            i, j = i[keep], j[keep]
             if len(i):
-                keep = survivors(sig[probe][i], sig[~probe][j], op)
-                p, t = ids[probe][i[keep]], ids[~probe][j[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, t)), pa.array(np.maximum(p, t))], ["a", "b"])
+                band = (bands[i] == bands[j]).argmax(axis=1)
+                owner = bands[i, band] == g.column("bucket")[0].as_py()
+                i, j = i[owner], j[owner]
+            if len(i):
+                order = np.argsort(-(sig[i] == sig[j]).sum(axis=1), kind="stable")
+                pairs = np.stack([ids[i], ids[j]], 1)[order].astype("<i8").tobytes()
+                _, used = np.unique(ids[np.union1d(i, j)], return_index=True)
+                g = g.take(pa.array(np.union1d(i, j)[used])).select([*_KEYS, "id", "comp"])
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in g.columns), pa.array([pairs] + [None] * (g.num_rows - 1), pa.binary())], [*_KEYS, "id", "comp", "pairs"])
+
+    block = _blocks(targets.unionByName(probes), "probe", "id")
+    return block.select(*_KEYS, "probe", *own).mapInArrow(run, "bucket long, p int, t int, id long, comp long, pairs binary")
+
 
-    return block.select(*keys, "probe", "id", "comp", "sig").mapInArrow(run, "a long, b long").distinct()
+def _across(members: DataFrame, texts: DataFrame, op: NearDup) -> DataFrame:
+    """Links between components, verified block by block on the full sets; pairs that earlier links of the block connect are skipped."""
+    num, den = op.threshold
+
+    def run(batches):
+        for g in _groups(batches):
+            ids, comp = g.column("id").to_pylist(), g.column("comp").to_pylist()
+            sets, root = {}, {c: c for c in comp}
+            for lo, hi, buf, offs in T.chunks(g.column("text")):
+                s, at = shingle_sets(buf, offs, op.words)
+                for k in range(hi - lo):
+                    sets[ids[lo + k]] = s[at[k] : at[k + 1]]
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            of, links = dict(zip(ids, comp, strict=True)), []
+            pairs = np.frombuffer(b"".join(x for x in g.column("pairs").to_pylist() if x), "<i8").reshape(-1, 2)
+            for a, b in pairs.tolist():
+                x, y = find(of[a]), find(of[b])
+                if x != y:
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                        root[x] = y
+                        links.append((min(a, b), max(a, b)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    found = _suspects(members, op).join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return _blocks(found, "id").select(*_KEYS, "id", "comp", "pairs", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, op: NearDup = NearDup(), id_col: str | Column = "doc_id", text_col: str | Column = "text") -> DataFrame:
@@ -276,13 +328,10 @@ def near_duplicates(docs: DataFrame, op: NearDup = NearDup(), id_col: str | Colu
     comp = components(links)
     members = stars.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", spread(F.col("bucket")).alias("h"))
-    members = members.withColumn("h", spread(F.col("bucket"))).join(mixed, ["bucket", "h"]).join(sigs.withColumnRenamed("doc_id", "id"), "id").select("bucket", "id", "comp", "sig")
-    more = stored(_across(stored(members, "mixed"), op), "across")
-    more = more.join(links, ["a", "b"], "left_anti")
-    if not more.isEmpty():
-        late = stored(_verified(more, texts, op), "links")
-        if not late.isEmpty():
-            comp = components(links.unionByName(late))
+    members = members.withColumn("h", spread(F.col("bucket"))).join(mixed, ["bucket", "h"]).join(reps.withColumnRenamed("doc_id", "id"), "id").select("bucket", "id", "comp", "sig", "buckets")
+    late = stored(_across(stored(members, "mixed"), texts, op), "links")
+    if not late.isEmpty():
+        comp = components(links.unionByName(late))
     by_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), spread(F.col("set_key")).alias("h"))
     out = feats.select("doc_id", "n_shingles", "set_key", spread(F.col("set_key")).alias("h")).join(by_class, ["set_key", "h"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
