@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from cadenza.llm import decontam, mixing, quality, queries, ring, secrets, tokenstore, toxicity
 from cadenza.llm import _text as T
-from conftest import ODD, TINY
+from odd_rows import ODD, TINY
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
