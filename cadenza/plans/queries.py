@@ -372,11 +372,41 @@ def fit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FIT.fit(history, ModelSpec(growth="logistic", yearly=2, n_changepoints=5)).select("series_id", "status", (F.col("kkt") < 0.1).alias("kkt_ok"), F.size("beta").cast("long").alias("n_beta"))
 
 
+def sample_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.table(spark, sf_dir, "customer").select(F.col("c_name").alias("series_id"), F.col("c_mktsegment").alias("frequency"))
+    return S.sample_series(rows, 7, 3)
+
+
+def seasonality_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [f(spark, sf_dir).select("series_id", "ds", "y") for f in (D.daily, D.hourly)]
+    return P.seasonality_warnings(P.series_stats(P.clean_history(rows[0].unionByName(rows[1]))), ModelSpec(yearly=True, weekly=False))
+
+
+def tau_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = FIT.tau_path(D.daily(spark, sf_dir), ModelSpec(yearly=2), [0.001, 0.05, 5.0])
+    return rows.groupBy("series_id").agg(F.count("*").alias("n"), (F.max("kkt") < 1e-3).alias("kkt_ok"), (F.max(F.struct("tau", "sum_abs_delta"))["sum_abs_delta"] >= F.min(F.struct("tau", "sum_abs_delta"))["sum_abs_delta"]).alias("grows"))
+
+
+def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of series made from known parameters, in the posterior's own metric."""
+    base = D.table(spark, sf_dir, "region").select(F.col("r_name").alias("series_id"), (1.0 + F.col("r_regionkey")).alias("k"))
+    made = base.select(
+        "series_id", F.lit("2015-01-01").cast("date").alias("start"), F.lit(400).alias("rows"), "k", F.lit(2.0).alias("m"), F.array(F.lit(0.0)).alias("delta"), F.array(F.lit(0.0)).alias("changepoints_t"),
+        F.lit(0.0).alias("amplitude"), F.lit(7.0).alias("period"), F.lit(0.05).alias("sigma"),
+    )
+    history, spec = S.generate(spark, made), ModelSpec(changepoints=(), yearly=False, weekly=False, daily=False)
+    models = FIT.fit(history, spec)
+    none = F.array().cast("array<double>")
+    truths = models.select("series_id", "y_scale").join(base, "series_id").select("series_id", (F.col("k") / F.col("y_scale")).alias("k"), (2.0 / F.col("y_scale")).alias("m"), F.array(F.lit(0.0)).alias("delta"), none.alias("beta"))
+    rows = FIT.recovery(history, models, truths, spec)
+    return rows.select("series_id", (F.col("k_error") < 0.02).alias("k_ok"), (F.col("m_error") < 0.02).alias("m_ok"), (F.col("identified_error") < 10).alias("identified_ok"), (F.col("least_curvature") > 0).alias("curved"))
+
+
 NAMES = (
     "clean_history history_status history_spacing auto_seasonality scale_history changepoints changepoints_explicit linear_init flat_init logistic_init capacity_status fourier_weekly fourier_yearly "
     "conditional_seasonality holiday_features country_holidays regressor_standardize design_columns gram_matrix trend_linear trend_flat trend_logistic predict_point predict_multiplicative components "
     "future_frame regressor_fill trend_uncertainty_approx trend_uncertainty_exact yhat_interval predictive_samples fit_kkt fit_constant_series fit_recovers fit_multiplicative fit_logistic cv_cutoffs "
     "cv_metrics cross_validation paired_summary stratified_summary holm scaling_slope memory_fit showcase_selection sparsity measurements agreement_gate unpivot_series corpus_digest corpus_profile "
-    "corpus_drift census stream_scoring flagship"
+    "corpus_drift census stream_scoring flagship sample_series seasonality_warnings tau_path recovery"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -42,6 +42,17 @@ def census(series: DataFrame, members: DataFrame) -> DataFrame:
     return series.join(members.select("series_id").distinct(), "series_id", "left_semi")
 
 
+def sample_series(series: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` series per frequency of (series_id, frequency), the same whatever the partitioning: those with the smallest keyed numbers."""
+    from pyspark.sql import Window
+
+    from ..functions.expressions import uniform
+
+    order = Window.partitionBy("frequency").orderBy(uniform(F.lit(seed), F.col("series_id")), "series_id")
+    rows = series.select("series_id", "frequency").distinct().withColumn("rank", F.row_number().over(order))
+    return rows.where(F.col("rank") <= n).select("frequency", "series_id")
+
+
 def drift(a: DataFrame, b: DataFrame) -> DataFrame:
     """Members of one list only, with the side that has them."""
     return a.exceptAll(b).withColumn("side", F.lit("removed")).unionByName(b.exceptAll(a).withColumn("side", F.lit("added")))
