@@ -75,7 +75,7 @@ def _minimisers(docs: DataFrame, op: SubDedup, buckets: int) -> DataFrame:
     """Super-k-mers whose minimiser occurs more than once, and a row without doc_id for each heavy minimiser."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 24 << 20):
+        for b in bounded(batches, 12 << 20):
             ids, found = b.column(0).to_numpy(), []
             for lo, _, buf, offs in T.chunks(b.column(1)):
                 h, first, _, _ = word_hashes(buf, offs)
@@ -126,7 +126,7 @@ def _packed(rows: DataFrame, op: SubDedup, buckets: int) -> DataFrame:
     """From (doc_id, text, found): strings for the buckets, and spans already known to go (n = -1, end in ``key``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 8 << 20):
+        for b in bounded(batches, 4 << 20):
             least: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             out: list[tuple] = []
             for doc, raw, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -225,7 +225,9 @@ def _resolved(packed: DataFrame, op: SubDedup) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, op: SubDedup = SubDedup()) -> DataFrame:
     """doc_id, text (binary) and spans (array of packed word spans to remove, or null) of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    # A column of the right type is taken as it is: an alias would keep Spark from seeing that the texts are dealt twice alike.
+    key = F.col("doc_id") if docs.schema["doc_id"].dataType.simpleString() == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = docs.select(key, F.col("text").cast("string").cast("binary").alias("text"))
     real = docs.where("doc_id is not null and text is not null")
     buckets = parts_for(docs, BUCKET_BYTES, 128)
     found = stored(_minimisers(real, op, buckets), "minimisers")
@@ -233,8 +235,10 @@ def repeated_spans(docs: DataFrame, op: SubDedup = SubDedup()) -> DataFrame:
     found = found.where("not heavy").select("doc_id", "hash", "start", "n").join(heavy, "hash", "left")
     item = F.struct("hash", "start", "n", F.coalesce("is_heavy", F.lit(False)).alias("heavy"))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(item).alias("found"))
-    spans = _resolved(_packed(docs.join(by_doc, "doc_id"), op, buckets), op)
-    return docs.join(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "doc_id", "left")
+    # Both joins deal the texts alike, so their shuffle is made once.
+    spans = _resolved(_packed(real.join(by_doc, "doc_id"), op, buckets), op)
+    out = real.join(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "doc_id", "left")
+    return out.unionByName(docs.where("doc_id is null or text is null").withColumn("spans", F.array().cast("array<binary>")))
 
 
 def _kept(raw: bytes | None, spans: list[bytes] | None, op: SubDedup) -> tuple[int, int, list[bytes]]:
