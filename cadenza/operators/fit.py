@@ -74,13 +74,12 @@ def prepared(df: DataFrame, spec: ModelSpec) -> tuple[DataFrame, DataFrame]:
     clean = P.with_floor(P.clean_history(df), spec)
     if spec.growth == "logistic" and "cap" not in df.columns:
         raise ValueError('Capacities must be supplied for logistic growth in column "cap"')
-    stats = P.series_stats(clean)
-    flags = P.auto_seasonality(stats)
+    info = P.series_info(clean, spec)
+    info = P.auto_seasonality(info, keep=True)
     for name in C.BUILT_IN:
         asked = getattr(spec, name)
         if not (asked == "auto" and isinstance(asked, str)):
-            flags = flags.withColumn(name, F.lit(spec.built_in(name, False) is not None))
-    info = stats.join(flags, "series_id")
+            info = info.withColumn(name, F.lit(spec.built_in(name, False) is not None))
     if spec.regressors:
         mu = regressor_stats(clean, spec.regressors)
         arrays = [F.array(*[F.col(f"{r.name}_{k}") for r in spec.regressors]).alias(f"regressor_{k}") for k in ("mu", "std")]
@@ -88,8 +87,6 @@ def prepared(df: DataFrame, spec: ModelSpec) -> tuple[DataFrame, DataFrame]:
     else:
         none = F.array().cast("array<double>")
         info = info.withColumn("regressor_mu", none).withColumn("regressor_std", none)
-    scaled = P.scale_history(clean, stats)
-    info = info.join(P.changepoints(scaled, stats, spec), "series_id")
     return clean, info
 
 
@@ -104,7 +101,9 @@ def gram(df: DataFrame, spec: ModelSpec, holidays: DataFrame | None = None) -> D
 
     def sums(g: pa.Table) -> pa.Table:
         s = np.array(g.column("changepoints_t")[0].as_py())
-        mo = moments(g.column("t").to_numpy(), g.column("y_scaled").to_numpy(), _matrix(g.column("x"), g.num_rows), s)
+        t, y = g.column("t").to_numpy(), g.column("y_scaled").to_numpy()
+        order = np.lexsort((y, t))  # rows arrive in any order; sums must not depend on it
+        mo = moments(t[order], y[order], _matrix(g.column("x"), g.num_rows)[order], s)
         one = g.slice(0, 1).select(["series_id", "chunk", *_CARRIED])
         more = {"rows": pa.array([mo.n], pa.int64()), "zz": pa.array([mo.zz.ravel()], pa.list_(pa.float64())), "zy": pa.array([mo.zy], pa.list_(pa.float64())), "yy": pa.array([mo.yy])}
         for name, column in more.items():
@@ -203,7 +202,8 @@ def recovery(df: DataFrame, models: DataFrame, truths: DataFrame, spec: ModelSpe
 
 
 def _added(g: pa.Table) -> S.Moments:
-    """The moments of all chunks of one series."""
+    """The moments of all chunks of one series, added in their order."""
+    g = g.sort_by("chunk")
     p = len(g.column("zy")[0])
     return S.Moments(int(np.sum(g.column("rows").to_numpy())), _matrix(g.column("zz"), g.num_rows).sum(axis=0).reshape(p, p), _matrix(g.column("zy"), g.num_rows).sum(axis=0), float(np.sum(g.column("yy").to_numpy())))
 

@@ -24,7 +24,7 @@ def future_frame(history: DataFrame, periods: int, include_history: bool = True)
 
 def modes(spec: ModelSpec) -> Column | None:
     """1 for the multiplicative entries of x, 0 for the others; None if there are none."""
-    if spec.mode == "additive" and spec.convex or all(m == "additive" for m in _all_modes(spec)):
+    if all(m == "additive" for m in _all_modes(spec)):
         return None
     parts = []
     for s, flag in selectable(spec):

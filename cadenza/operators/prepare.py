@@ -105,13 +105,13 @@ def scale_history(clean: DataFrame, stats: DataFrame) -> DataFrame:
     return rows
 
 
-def auto_seasonality(stats: DataFrame) -> DataFrame:
-    """series_id and whether its history supports yearly, weekly and daily seasonality."""
+def auto_seasonality(stats: DataFrame, keep: bool = False) -> DataFrame:
+    """series_id and whether its history supports yearly, weekly and daily seasonality; with ``keep`` beside the other columns."""
     flags = []
     for name, (_, _, span, spacing) in C.BUILT_IN.items():
         ok = F.col("span_days") >= span
         flags.append((ok if spacing is None else ok & F.coalesce(F.col("min_spacing_days") < spacing, F.lit(False))).alias(name))
-    return stats.select("series_id", *flags)
+    return stats.select("*" if keep else "series_id", *flags)
 
 
 def seasonality_warnings(stats: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -132,27 +132,57 @@ def changepoint_count(rows: Column, spec: ModelSpec) -> Column:
     return F.when(F.lit(spec.n_changepoints) + 1 > hist, F.greatest(hist - 1, F.lit(0))).otherwise(F.lit(spec.n_changepoints))
 
 
+def _placed(rows: DataFrame, spec: ModelSpec) -> DataFrame:
+    """Adds picked, the row's t once for each changepoint on it, from columns n, row (from 0 by date, ties by y) and t. Positions repeat
+    if there are more changepoints than rows between them; each counts."""
+    hist, n = F.floor(F.col("n") * F.lit(float(spec.changepoint_range))), changepoint_count(F.col("n"), spec)
+    wanted = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.bround(i * ((hist - 1) / F.greatest(n, F.lit(1)))).cast("long"))
+    rows = rows.withColumn("_wanted", F.when(n > 0, wanted).otherwise(F.array().cast("array<bigint>")))
+    return rows.withColumn("picked", F.transform(F.filter("_wanted", lambda w: w == F.col("row")), lambda _: F.col("t"))).drop("_wanted")
+
+
+def _gathered() -> Column:
+    """A series' changepoints; one at 0 stands in if there are none."""
+    found = F.sort_array(F.flatten(F.collect_list(F.when(F.size("picked") > 0, F.col("picked")))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0.0)))
+
+
+def explicit_changepoints(stats: DataFrame, spec: ModelSpec) -> DataFrame:
+    if not spec.changepoints:
+        return stats.select("series_id", F.array(F.lit(0.0)).alias("changepoints_t"))
+    dates = F.array(*[micros(F.lit(d).cast("timestamp_ntz")) for d in spec.changepoints])
+    inside = F.forall(dates, lambda u: (u >= F.col("start_us")) & (u <= F.col("end_us")))
+    at = F.when(inside, dates).otherwise(F.raise_error(F.lit("Changepoints must fall within training data.")).cast("array<bigint>"))
+    return stats.select("series_id", F.sort_array(F.transform(at, lambda u: (u - F.col("start_us")) / (F.col("end_us") - F.col("start_us")).cast("double"))).alias("changepoints_t"))
+
+
 def changepoints(scaled: DataFrame, stats: DataFrame, spec: ModelSpec) -> DataFrame:
     """series_id and changepoints_t: evenly spaced over the first rows of a series by date (ties by y), or the given dates.
 
     A series without any gets one dummy changepoint at 0.
     """
     if spec.changepoints is not None:
-        if not spec.changepoints:
-            return stats.select("series_id", F.array(F.lit(0.0)).alias("changepoints_t"))
-        dates = F.array(*[micros(F.lit(d).cast("timestamp_ntz")) for d in spec.changepoints])
-        inside = F.forall(dates, lambda u: (u >= F.col("start_us")) & (u <= F.col("end_us")))
-        at = F.when(inside, dates).otherwise(F.raise_error(F.lit("Changepoints must fall within training data.")).cast("array<bigint>"))
-        return stats.select("series_id", F.sort_array(F.transform(at, lambda u: (u - F.col("start_us")) / (F.col("end_us") - F.col("start_us")).cast("double"))).alias("changepoints_t"))
+        return explicit_changepoints(stats, spec)
     ranked = scaled.select("series_id", "t", (F.row_number().over(by_series("us", "y")) - 1).alias("row")).join(stats.select("series_id", "n"), "series_id")
-    hist, n = F.floor(F.col("n") * F.lit(float(spec.changepoint_range))), changepoint_count(F.col("n"), spec)
-    wanted = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.bround(i * ((hist - 1) / F.greatest(n, F.lit(1)))).cast("long"))
-    ranked = ranked.withColumn("wanted", F.when(n > 0, wanted).otherwise(F.array().cast("array<bigint>")))
-    # Positions repeat if there are more changepoints than rows between them; each counts.
-    picks = F.filter("wanted", lambda w: w == F.col("row"))
-    found = ranked.withColumn("picked", F.transform(picks, lambda _: F.col("t"))).where(F.size("picked") > 0)
-    found = found.groupBy("series_id").agg(F.sort_array(F.flatten(F.collect_list("picked"))).alias("changepoints_t"))
-    return stats.select("series_id").join(found, "series_id", "left").select("series_id", F.coalesce("changepoints_t", F.array(F.lit(0.0))).alias("changepoints_t"))
+    return _placed(ranked, spec).groupBy("series_id").agg(_gathered().alias("changepoints_t"))
+
+
+def series_info(clean: DataFrame, spec: ModelSpec) -> DataFrame:
+    """``series_stats`` and ``changepoints`` of every series together: one shuffle and one sort of (series_id, us, y)."""
+    if spec.changepoints is not None:
+        stats = series_stats(clean)
+        return stats.join(explicit_changepoints(stats, spec), "series_id")
+    whole, order = Window.partitionBy("series_id"), by_series("us", "y")
+    rows = clean.select(
+        "series_id", "us", "y", (F.col("us") - F.lag("us").over(order)).alias("step"), (F.row_number().over(order) - 1).alias("row"),
+        F.count("*").over(whole).alias("n"), F.min("us").over(whole).alias("start_us"), F.max("us").over(whole).alias("end_us"),
+    )
+    rows = _placed(rows.withColumn("t", F.try_divide(F.col("us") - F.col("start_us"), (F.col("end_us") - F.col("start_us")).cast("double"))), spec)
+    top = F.max(F.abs("y"))
+    return rows.groupBy("series_id").agg(
+        F.first("n").alias("n"), F.first("start_us").alias("start_us"), F.first("end_us").alias("end_us"), F.when(top == 0, 1.0).otherwise(top).alias("y_scale"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
+        ((F.max("us") - F.min("us")) / float(DAY)).alias("span_days"), (F.min(F.when(F.col("step") > 0, F.col("step"))) / float(DAY)).alias("min_spacing_days"), _gathered().alias("changepoints_t"),
+    )
 
 
 def initial_point(scaled: DataFrame, spec: ModelSpec) -> DataFrame:
