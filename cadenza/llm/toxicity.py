@@ -34,7 +34,7 @@ _LONGEST = 32
 class ToxicityFit:
     toxic_docs: int = 1500
     clean_docs: int = 4000
-    longest: int = 200_000
+    longest: int = 50_000
     bits: int = 18
     evidence: float = 11.0
     scale: float = 2.0
@@ -76,19 +76,23 @@ def instances(buf: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray,
     return slots, number[starts], doc, begins
 
 
-def _first_of_copies(words: np.ndarray, doc: np.ndarray, n_docs: int, labels: list[int]) -> np.ndarray:
-    """False for documents that share two of four minimal word hashes with an earlier one of their label: near copies would make their
-    own words look like evidence."""
-    keep, seen = np.ones(n_docs, bool), set()
-    least = np.full((4, n_docs), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(4):
-        np.minimum.at(least[k], doc, T.mix(words.astype(np.uint64) ^ T.random_u64(1, 71 + k)[0]))
-    pairs = [(a, b) for a in range(4) for b in range(a)]
-    for d in range(n_docs):
-        keys = [(a, b, int(least[a, d]), int(least[b, d]), labels[d]) for a, b in pairs]
-        keep[d] = not any(k in seen for k in keys)
-        seen.update(keys)
-    return keep
+class _Copies:
+    """Finds documents that share two of four minimal word hashes with an earlier one of their label: near copies would make their own
+    words look like evidence."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple] = set()
+        self.first: list[bool] = []
+
+    def add(self, words: np.ndarray, doc: np.ndarray, labels: list[int]) -> None:
+        least = np.full((4, len(labels)), np.iinfo(np.uint64).max, np.uint64)
+        for k in range(4):
+            np.minimum.at(least[k], doc, T.mix(words.astype(np.uint64) ^ T.random_u64(1, 71 + k)[0]))
+        pairs = [(a, b) for a in range(4) for b in range(a)]
+        for d, label in enumerate(labels):
+            keys = [(a, b, int(least[a, d]), int(least[b, d]), label) for a, b in pairs]
+            self.first.append(not any(k in self.seen for k in keys))
+            self.seen.update(keys)
 
 
 def sentence_logits(slots: np.ndarray, sentence: np.ndarray, n: int, w: np.ndarray, bias: float) -> np.ndarray:
@@ -114,26 +118,30 @@ def fit(texts: list[str], labels: list[int], op: ToxicityFit = ToxicityFit()) ->
     size = 1 << op.bits
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(size, np.float32), -30.0, op.threshold)
-    slots, sentence, docs, n_sentences, n_docs = [], [], [], 0, 0
+    y = np.asarray(labels, float)
+    parts, docs, blank, n_sentences, n_docs = [], [], [], 0, 0
+    copies = _Copies()
     for lo, hi, buf, offs in T.chunks(pa.array(texts, pa.string())):
-        s, w, d, _ = instances(buf, offs, op.bits)
-        slots.append(s)
-        sentence.append((w + n_sentences).astype(np.int32))
-        docs.append(d + n_docs)
+        slots, own, d, _ = instances(buf, offs, op.bits)
+        copies.add(slots[:, 0], d[own], labels[lo:hi])
+        once = np.unique(own.astype(np.int64) * (size + 1) + slots.T, axis=None)
+        parts.append(((once % (size + 1)).astype(np.int32), (once // (size + 1) + n_sentences).astype(np.int32)))
+        docs.append((d + n_docs).astype(np.int32))
+        blank.append(np.bincount(own, minlength=len(d)) == 0)
         n_sentences += len(d)
         n_docs += hi - lo
-    slots, sentence, doc = np.concatenate(slots), np.concatenate(sentence), np.concatenate(docs)
-    alone = _first_of_copies(slots[:, 0], doc[sentence], n_docs, labels)
-    keep = alone[doc[sentence]]
-    slots, sentence = slots[keep], sentence[keep]
-    once = np.unique(sentence.astype(np.int64) * (size + 1) + slots.T, axis=None)
-    flat, word = (once % (size + 1)).astype(np.int32), (once // (size + 1)).astype(np.int32)
-    del slots, once
-    y = np.asarray(labels, float)
+    doc, blank = np.concatenate(docs), np.concatenate(blank)
+    alone = np.array(copies.first)
     part = alone[doc]
-    pairs = np.unique(flat.astype(np.int64) * n_docs + doc[word])
-    slot, its = pairs // n_docs, y[pairs % n_docs]
-    n1, n0 = np.bincount(slot, its, size + 1)[:size], np.bincount(slot, 1 - its, size + 1)[:size]
+    n1, n0 = np.zeros(size), np.zeros(size)
+    for k, (flat, word) in enumerate(parts):
+        keep = part[word]
+        flat, word = flat[keep], word[keep]
+        parts[k] = flat, word
+        pairs = np.unique(flat.astype(np.int64) * n_docs + doc[word])
+        slot, its = pairs // n_docs, y[pairs % n_docs]
+        n1 += np.bincount(slot, its, size)[:size]
+        n0 += np.bincount(slot, 1 - its, size)[:size]
     toxic, clean = max(1.0, y[alone].sum()), max(1.0, (1 - y)[alone].sum())
     rate1, rate0 = n1 / toxic, n0 / clean
     odds = np.log((n1 + 1) / (toxic + 2)) - np.log((n0 + 1) / (clean + 2)) - np.sqrt(1 / (n1 + 1) + 1 / (n0 + 1))
@@ -141,9 +149,10 @@ def fit(texts: list[str], labels: list[int], op: ToxicityFit = ToxicityFit()) ->
     evidence = n1 * np.log(np.maximum(n1, 1) / (n * share)) + n0 * np.log(np.maximum(n0, 1) / (n * (1 - share)))
     w = np.where((rate1 > rate0) & (evidence >= op.evidence), op.scale * odds.clip(0), 0.0)
     w[0] = 0.0
-    use = w[flat] > 0
-    flat, word, b = flat[use], word[use], op.bias
-    blank = np.bincount(sentence, minlength=n_sentences) == 0
+    used = [(flat[w[flat] > 0], word[w[flat] > 0]) for flat, word in parts]
+    del parts
+    flat, word = (np.concatenate([u[k] for u in used]) for k in (0, 1))
+    b = op.bias
     gw = np.full(size, 1e-4)
     for _ in range(op.rounds):
         z = b + np.bincount(word, w[flat], n_sentences)
