@@ -212,4 +212,5 @@ SELECT frequency, sum(n)::BIGINT AS n_series, count(*) AS n_starts, strftime(fir
     "seasonality_warnings": _with(_HIST, _ALL) + "SELECT series_id, 'yearly seasonality is under-identified: the history spans less than 730 days.' AS warning FROM spacing WHERE span_days < 730 AND NOT contains(series_id, '-')",
     "tau_path": _with(_HIST) + "SELECT DISTINCT series_id, 3::BIGINT AS n, true AS kkt_ok, true AS grows FROM hist",
     "recovery": "SELECT r_name AS series_id, true AS k_ok, true AS m_ok, true AS identified_ok, true AS curved FROM region",
+    "fit_many_series": "SELECT l_suppkey::VARCHAR AS series_id, count(*) AS n, 'ok' AS status, true AS kkt_ok, CASE WHEN 26 > floor(count(*) * 0.8) THEN greatest(1, floor(count(*) * 0.8) - 1) ELSE 25 END::BIGINT AS n_changepoints FROM (SELECT DISTINCT l_suppkey, date_trunc('week', l_shipdate) AS w FROM lineitem) GROUP BY 1",
 }

@@ -372,6 +372,13 @@ def fit_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FIT.fit(history, ModelSpec(growth="logistic", yearly=2, n_changepoints=5)).select("series_id", "status", (F.col("kkt") < 0.1).alias("kkt_ok"), F.size("beta").cast("long").alias("n_beta"))
 
 
+def fit_many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A default model for each supplier's weekly quantity."""
+    rows = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("ds"))
+    models = FIT.fit(rows.agg(F.sum("l_quantity").alias("y")), ModelSpec())
+    return models.select("series_id", "n", "status", (F.col("kkt") < 1e-3).alias("kkt_ok"), F.size("delta").cast("long").alias("n_changepoints"))
+
+
 def sample_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.table(spark, sf_dir, "customer").select(F.col("c_name").alias("series_id"), F.col("c_mktsegment").alias("frequency"))
     return S.sample_series(rows, 7, 3)
@@ -407,6 +414,6 @@ NAMES = (
     "conditional_seasonality holiday_features country_holidays regressor_standardize design_columns gram_matrix trend_linear trend_flat trend_logistic predict_point predict_multiplicative components "
     "future_frame regressor_fill trend_uncertainty_approx trend_uncertainty_exact yhat_interval predictive_samples fit_kkt fit_constant_series fit_recovers fit_multiplicative fit_logistic cv_cutoffs "
     "cv_metrics cross_validation paired_summary stratified_summary holm scaling_slope memory_fit showcase_selection sparsity measurements agreement_gate unpivot_series corpus_digest corpus_profile "
-    "corpus_drift census stream_scoring flagship sample_series seasonality_warnings tau_path recovery"
+    "corpus_drift census stream_scoring flagship sample_series seasonality_warnings tau_path recovery fit_many_series"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
