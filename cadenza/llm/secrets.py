@@ -96,34 +96,41 @@ def ordinary(docs: DataFrame, scan: Scan) -> DataFrame:
     return words.select("token", F.lit(False).alias("secret"))
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all earlier elements, in blocks of the square root of the size."""
-    n = F.size(lengths)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
-    blocks = F.transform(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>")), lambda b: F.slice(lengths, b * width + 1, width))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    scan = lambda xs: F.aggregate(xs, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    bases = scan(F.transform(blocks, total))
-    return F.flatten(F.zip_with(bases, blocks, lambda base, xs: F.transform(scan(xs), lambda x: x + base)))
-
-
-def _located(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<s, e, v>> of the leftmost non-overlapping matches: code point offsets (end exclusive) and a group."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    n = F.size(found)
-    sizes = F.transform(found, lambda x: F.length(x))
-    starts = F.zip_with(_running(F.zip_with(F.slice(between, 1, n), sizes, lambda a, b: a + b)), F.slice(between, 1, n), lambda at, gap: at + gap)
-    value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.transform(F.arrays_zip(starts.alias("s"), sizes.alias("n"), value.alias("v")), lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["n"]).alias("e"), x["v"].alias("v")))
+_INTS = "array<int>"
 
 
-_NONE = "array<struct<s:int,e:int,v:string>>"
+def running_sums(rows: DataFrame, lengths: str, out: str) -> DataFrame:
+    """Adds ``out``: the sums of all earlier elements of a column, in blocks of the square root of its size.
 
-
-def _where(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.when(text.rlike(pattern), _located(text, pattern, group)).otherwise(F.array().cast(_NONE))
+    Each step is a column of its own: an array written inside a lambda would be made again for every element.
+    """
+    n = F.size(lengths)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    rows = rows.withColumn("_width", width)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / F.col("_width")).cast("int"))).otherwise(F.array().cast(_INTS))
+    rows = rows.withColumn("_blocks", F.transform(starts, lambda b: F.slice(lengths, b * F.col("_width") + 1, F.col("_width"))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_INTS).alias("out"))
+    scan = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    rows = rows.withColumn("_bases", scan(F.transform("_blocks", total)))
+    sums = F.zip_with("_bases", "_blocks", lambda base, xs: F.transform(scan(xs), lambda x: x + base))
+    return rows.withColumn(out, F.flatten(sums)).drop("_width", "_blocks", "_bases")
+
+
+def locate(rows: DataFrame, text: Column, pattern: str, out: str, group: int = 0) -> DataFrame:
+    """Adds ``out``: array<struct<s, e, v>> of the leftmost non-overlapping matches, code point offsets (end exclusive) and a group."""
+    none = F.array().cast("array<string>")
+    every = lambda k: F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(k))).otherwise(none)
+    rows = rows.withColumn("_found", every(0))
+    n = F.size("_found")
+    rows = rows.withColumn("_gaps", F.when(n > 0, F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, n)).otherwise(F.array().cast(_INTS)))
+    rows = rows.withColumn("_sizes", F.transform("_found", lambda x: F.length(x)))
+    rows = rows.withColumn("_steps", F.zip_with("_gaps", "_sizes", lambda a, b: a + b))
+    rows = running_sums(rows, "_steps", "_before")
+    rows = rows.withColumn("_values", F.col("_found") if group == 0 else F.when(n > 0, every(group)).otherwise(none))
+    zipped = F.arrays_zip(F.col("_before").alias("b"), F.col("_gaps").alias("g"), F.col("_sizes").alias("n"), F.col("_values").alias("v"))
+    spans = F.transform(zipped, lambda x: F.struct((x["b"] + x["g"]).alias("s"), (x["b"] + x["g"] + x["n"]).alias("e"), x["v"].alias("v")))
+    return rows.withColumn(out, spans).drop("_found", "_gaps", "_sizes", "_steps", "_before", "_values")
 
 
 def scan_secrets(docs: DataFrame, ratios: list[float], scan: Scan = Scan()) -> DataFrame:
@@ -133,9 +140,9 @@ def scan_secrets(docs: DataFrame, ratios: list[float], scan: Scan = Scan()) -> D
     span are left out. An existing column spans is replaced. One pass; no shuffle.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.drop("spans").withColumn("_assign", F.filter(_where(text, ASSIGN, 2), lambda x: F.length(x["v"]) >= LEAST_VALUE))
-    rows = rows.withColumn("_access", _where(text, ACCESS)).withColumn("_hex", _where(text, HEX))
-    rows = rows.withColumn("_random", _where(text, scan.candidate))
+    rows = locate(docs.drop("spans"), text, ASSIGN, "_assign", 2)
+    rows = rows.withColumn("_assign", F.filter("_assign", lambda x: F.length(x["v"]) >= LEAST_VALUE))
+    rows = locate(locate(locate(rows, text, ACCESS, "_access"), text, HEX, "_hex"), text, scan.candidate, "_random")
     matrix = "array(" + ",".join(f"{x:.6f}D" for x in ratios) + ")"
     score = lambda token: F.aggregate(_pairs(_chars(token)), F.lit(0.0), lambda acc, p: acc + F.get(F.expr(matrix), p))
     limit = lambda token: F.greatest(F.lit(scan.total), F.lit(scan.mean) * (F.length(token) - 1))
