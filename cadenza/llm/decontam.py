@@ -52,17 +52,17 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def sampled(op: Decontam, steps: int) -> list[tuple[np.uint64, np.ndarray]]:
-    """(seed of the bits, sampled steps) of each walk; a rule, so every task draws the same."""
+    """(seed of the bits, sampled steps) of each walk; a rule, so every task draws the same. Each samples step 0, the window's first word,
+    so that most positions are told apart before they walk."""
     out = []
     for r in range(op.repeats):
         order = np.argsort(T.random_u64(steps, 101 + r), kind="stable")
-        out.append((T.random_u64(1, 31 + 7 * r)[0], np.sort(order[: op.samples])))
+        out.append((T.random_u64(1, 31 + 7 * r)[0], np.append(0, np.sort(order[order > 0][: op.samples - 1]))))
     return out
 
 
-def walk_keys(h: np.ndarray, at: np.ndarray, seed: np.uint64, steps: np.ndarray, allowed: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of ``at`` whose walks pass every filter in ``allowed``, and their keys."""
-    bits = T.mix(h ^ seed)
+def walk_keys(h: np.ndarray, bits: np.ndarray, at: np.ndarray, seed: np.uint64, steps: np.ndarray, allowed: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``at`` whose walks pass every filter in ``allowed``, and their keys; ``bits`` are the words' random bits of this walk."""
     i, key, done = at.copy(), np.full(len(at), seed), 0
     for k, j in enumerate(steps.tolist()):
         for s in range(done, j):
@@ -96,7 +96,7 @@ class Index:
                 for k in own:
                     w = self.words[k]
                     anchors = np.unique(np.append(np.arange(0, len(w) - steps + 1, op.stride), len(w) - steps))
-                    at, key = walk_keys(w, anchors, seed, picks)
+                    at, key = walk_keys(w, T.mix(w ^ seed), anchors, seed, picks)
                     keys.append(key)
                     entries += [(k, a) for a in at.tolist()]
                     i = anchors.copy()
@@ -120,11 +120,13 @@ class Index:
     def candidates(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (item, estimated start) of one chunk's words, in this order, and a word of the text each was found at; all
         count from the chunk's first word."""
-        found = []
+        found, last, bits = [], None, h
         position = np.arange(len(h))
         left = np.repeat(first[1:], np.diff(first)) - position  # words from here to the text's end
-        for steps, seed, picks, allowed, keys, entries in self.tables:
-            at, key = walk_keys(h, position[left >= steps], seed, picks, allowed)
+        for steps, seed, picks, allowed, keys, entries in sorted(self.tables, key=lambda x: int(x[1])):
+            if seed != last:
+                bits, last = T.mix(h ^ seed), seed
+            at, key = walk_keys(h, bits, position[left >= steps], seed, picks, allowed)
             found.append(self._rows(keys, key, at, entries))
         for n, keys, own in self.short:
             at = position[: max(0, len(h) - n + 1)][left[: max(0, len(h) - n + 1)] >= n]
