@@ -41,11 +41,12 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_for(df: DataFrame, each: int, least: int = 1) -> int:
-    """How many parts of about ``each`` bytes the input has; parts grow with the data, their size doesn't. Where Catalyst
-    can't estimate the input, the session's number of shuffle partitions."""
-    n = -(-input_bytes(df) // each)
-    return max(least, n) if n < 1 << 20 else max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def parts_for(df: DataFrame, each: int, least: int = 1, most: int = 1_000_000) -> int:
+    """How many parts of about ``each`` bytes the input has. Parts grow with the data while their size stays, until there are ``most``,
+    where their number would weigh more. Where Catalyst can't estimate the input, the session's number of shuffle partitions."""
+    size = input_bytes(df)
+    n = -(-size // each) if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(least, n))
 
 
 def spread(key: Column, *keys: Column) -> Column:
@@ -65,8 +66,10 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 
 def bounded(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices batches to about ``most`` bytes each."""
+    """Slices batches to about ``most`` bytes each, and gives Arrow's unused memory back after each batch."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * most / max(most, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()

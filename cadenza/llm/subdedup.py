@@ -31,7 +31,7 @@ from . import _text as T
 from ._spark import bounded, parts_for, stored
 
 #: Bytes of the input's size estimate a bucket.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def _packed(rows: DataFrame, op: SubDedup, buckets: int) -> DataFrame:
     """From (doc_id, text, found): strings for the buckets, and spans already known to go (n = -1, end in ``key``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 4 << 20):
+        for b in bounded(batches, 2 << 20):
             least: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             out: list[tuple] = []
             for doc, raw, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -161,9 +161,12 @@ def _packed(rows: DataFrame, op: SubDedup, buckets: int) -> DataFrame:
 
 def repeated_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents and starts of the windows of packed strings whose words start earlier elsewhere."""
-    data, offs = T.buffers(column)
-    buf = data[offs[0] : offs[-1]]
-    h, first, _, _ = word_hashes(buf, offs - offs[0])
+    parts, counts = [], [np.zeros(1, np.int64)]
+    for _, _, buf, offs in T.chunks(column):
+        h, first, _, _ = word_hashes(buf, offs)
+        parts.append(h)
+        counts.append(first[1:] + counts[-1][-1])
+    h, first = np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(counts)
     row = np.repeat(np.arange(len(n)), n)
     at = T.ranges(first[:-1], n)
     where = T.ranges(start.astype(np.int64), n)
@@ -241,16 +244,16 @@ def repeated_spans(docs: DataFrame, op: SubDedup = SubDedup()) -> DataFrame:
     return out.unionByName(docs.where("doc_id is null or text is null").withColumn("spans", F.array().cast("array<binary>")))
 
 
-def _kept(raw: bytes | None, spans: list[bytes] | None, op: SubDedup) -> tuple[int, int, list[bytes]]:
+def _kept(raw: bytes | None, spans: list[bytes] | None) -> tuple[int, int, str]:
     words = (raw or b"").split()
     if not spans:
-        return len(words), 0, words
+        return len(words), 0, b" ".join(words).decode()
     s = np.frombuffer(b"".join(spans), _SPAN)
     gone = np.zeros(len(words) + 1, np.int64)
     np.add.at(gone, s["start"], 1)
     np.add.at(gone, np.minimum(s["end"], len(words)), -1)
     keep = np.cumsum(gone[:-1]) == 0
-    return len(words), int((~keep).sum()), [words[k] for k in np.flatnonzero(keep).tolist()]
+    return len(words), int((~keep).sum()), b" ".join([words[k] for k in np.flatnonzero(keep).tolist()]).decode()
 
 
 def dedup_substrings(docs: DataFrame, op: SubDedup = SubDedup()) -> DataFrame:
@@ -263,9 +266,8 @@ def dedup_substrings(docs: DataFrame, op: SubDedup = SubDedup()) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches):
-            rows = [_kept(raw, spans, op) for raw, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            kept = pa.array([b" ".join(w).decode("utf-8", "replace") for _, _, w in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _, _ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
+        for b in bounded(batches, 4 << 20):
+            rows = [_kept(raw, spans) for raw, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept"])
 
     return repeated_spans(docs, op).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")

@@ -159,7 +159,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part
     An empty table gives a store of no parts."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts_for(docs, part_bytes, 2), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(parts_for(docs, part_bytes, 2, 50_000), "doc_id").sortWithinPartitions("doc_id", "text")
     files, root = _files(folder)
     files.create_dir(root, recursive=True)
 
@@ -256,4 +256,4 @@ def decode(folder: str, file: str, offsets: str, base: int, width: int) -> Itera
     """Each document's ids of one part, for readers outside Spark."""
     ids, offs = _mapped(folder, file, np.dtype(f"<u{width}")), _mapped(folder, offsets, np.dtype("<u8"))
     for a, z in zip(offs[:-1].astype(np.int64), offs[1:].astype(np.int64), strict=True):
-        yield T.np.asarray(ids[a - base : z - base])
+        yield ids[a - base : z - base]
