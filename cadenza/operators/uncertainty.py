@@ -6,7 +6,6 @@ and a draw can be recomputed anywhere. Draws are rows (series_id, ds, sample); q
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
