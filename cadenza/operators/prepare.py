@@ -133,12 +133,16 @@ def changepoint_count(rows: Column, spec: ModelSpec) -> Column:
 
 
 def _placed(rows: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Adds picked, the row's t once for each changepoint on it, from columns n, row (from 0 by date, ties by y) and t. Positions repeat
-    if there are more changepoints than rows between them; each counts."""
+    """Adds picked, an array with the row's t if a changepoint falls on it, from columns n, row (from 0 by date, ties by y) and t.
+
+    The i-th changepoint lies on row round(i * step), halves to even. There are never more than rows to place them on, so step is at
+    least 1 and only the i next to row / step can fall on a row.
+    """
     hist, n = F.floor(F.col("n") * F.lit(float(spec.changepoint_range))), changepoint_count(F.col("n"), spec)
-    wanted = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.bround(i * ((hist - 1) / F.greatest(n, F.lit(1)))).cast("long"))
-    rows = rows.withColumn("_wanted", F.when(n > 0, wanted).otherwise(F.array().cast("array<bigint>")))
-    return rows.withColumn("picked", F.transform(F.filter("_wanted", lambda w: w == F.col("row")), lambda _: F.col("t"))).drop("_wanted")
+    step = (hist - 1) / F.greatest(n, F.lit(1))
+    near = F.round(F.col("row") / F.greatest(step, F.lit(1.0)))
+    on = lambda i: (i >= 1) & (i <= n) & (F.bround(i * step) == F.col("row"))
+    return rows.withColumn("picked", F.when(on(near - 1) | on(near) | on(near + 1), F.array("t")).otherwise(F.array().cast("array<double>")))
 
 
 def _gathered() -> Column:
