@@ -119,29 +119,19 @@ def fit(texts: list[str], labels: list[int], op: ToxicityFit = ToxicityFit()) ->
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(size, np.float32), -30.0, op.threshold)
     y = np.asarray(labels, float)
-    parts, docs, blank, n_sentences, n_docs = [], [], [], 0, 0
-    copies = _Copies()
-    for lo, hi, buf, offs in T.chunks(pa.array(texts, pa.string())):
+    column, copies = pa.array(texts, pa.string()), _Copies()
+    n1, n0 = np.zeros(size), np.zeros(size)
+    # Two passes over the sample: the first counts documents by feature, the second keeps the few features that are evidence.
+    for lo, hi, buf, offs in T.chunks(column):
         slots, own, d, _ = instances(buf, offs, op.bits)
         copies.add(slots[:, 0], d[own], labels[lo:hi])
-        once = np.unique(own.astype(np.int64) * (size + 1) + slots.T, axis=None)
-        parts.append(((once % (size + 1)).astype(np.int32), (once // (size + 1) + n_sentences).astype(np.int32)))
-        docs.append((d + n_docs).astype(np.int32))
-        blank.append(np.bincount(own, minlength=len(d)) == 0)
-        n_sentences += len(d)
-        n_docs += hi - lo
-    doc, blank = np.concatenate(docs), np.concatenate(blank)
-    alone = np.array(copies.first)
-    part = alone[doc]
-    n1, n0 = np.zeros(size), np.zeros(size)
-    for k, (flat, word) in enumerate(parts):
-        keep = part[word]
-        flat, word = flat[keep], word[keep]
-        parts[k] = flat, word
-        pairs = np.unique(flat.astype(np.int64) * n_docs + doc[word])
-        slot, its = pairs // n_docs, y[pairs % n_docs]
+        first = np.array(copies.first[lo:hi])
+        pairs = np.unique(slots.T.astype(np.int64) * (hi - lo) + d[own], axis=None)
+        slot, its = pairs // (hi - lo), pairs % (hi - lo)
+        slot, its = slot[first[its]], y[lo + its[first[its]]]
         n1 += np.bincount(slot, its, size)[:size]
         n0 += np.bincount(slot, 1 - its, size)[:size]
+    alone = np.array(copies.first)
     toxic, clean = max(1.0, y[alone].sum()), max(1.0, (1 - y)[alone].sum())
     rate1, rate0 = n1 / toxic, n0 / clean
     odds = np.log((n1 + 1) / (toxic + 2)) - np.log((n0 + 1) / (clean + 2)) - np.sqrt(1 / (n1 + 1) + 1 / (n0 + 1))
@@ -149,10 +139,16 @@ def fit(texts: list[str], labels: list[int], op: ToxicityFit = ToxicityFit()) ->
     evidence = n1 * np.log(np.maximum(n1, 1) / (n * share)) + n0 * np.log(np.maximum(n0, 1) / (n * (1 - share)))
     w = np.where((rate1 > rate0) & (evidence >= op.evidence), op.scale * odds.clip(0), 0.0)
     w[0] = 0.0
-    used = [(flat[w[flat] > 0], word[w[flat] > 0]) for flat, word in parts]
-    del parts
-    flat, word = (np.concatenate([u[k] for u in used]) for k in (0, 1))
-    b = op.bias
+    kept, docs, blank, n_sentences = [], [], [], 0
+    for lo, _, buf, offs in T.chunks(column):
+        slots, own, d, _ = instances(buf, offs, op.bits)
+        hot = (w[slots] > 0) & alone[lo + d[own]][:, None]
+        kept.append(np.unique((np.repeat(own, hot.sum(axis=1)) + n_sentences).astype(np.int64) * size + slots[hot]))
+        docs.append(d + lo)
+        blank.append(np.bincount(own, minlength=len(d)) == 0)
+        n_sentences += len(d)
+    once, doc, blank = np.concatenate(kept), np.concatenate(docs), np.concatenate(blank)
+    flat, word, part, n_docs, b = once % size, once // size, alone[doc], len(texts), op.bias
     gw = np.full(size, 1e-4)
     for _ in range(op.rounds):
         z = b + np.bincount(word, w[flat], n_sentences)
