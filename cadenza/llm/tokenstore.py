@@ -34,7 +34,7 @@ from ._spark import bounded, parts_for, scratch
 #: Bytes of Catalyst's size estimate a part.
 PART_BYTES = 24 << 20
 #: Pieces kept by a worker.
-_CACHE = 600_000
+_CACHE = 300_000
 #: Blanks that stand beside white space or at a text's border.
 _WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _ODD = rf"\A | \z| {_WHITE}|{_WHITE} |\x01"
@@ -169,7 +169,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part
         out, position, local = None, 0, 0
         files, root = _files(folder)
         try:
-            for b in bounded(batches, 8 << 20):
+            for b in bounded(batches, 4 << 20):
                 if out is None:
                     out = files.open_output_stream(f"{root}/{name}")
                 ids, n = enc.encode(b.column(1))
