@@ -6,11 +6,13 @@ few edits apart soon walk in step again and edit distance turns into Hamming dis
 walks has its own bits and its own ``samples`` sampled steps; the sampled words are the key of a window.
 Item windows are entered at anchors every ``stride`` words, so an edit spoils the anchors near it only. The walk
 from a position reads the text only ``steps`` ahead, less than the shortest item, so one walk serves
-item windows of every length. Candidates are verified exactly: the word edit distance of the whole item to
+item windows of every length. Walks miss some copies by chance, so items are also cut into one piece more than the edits
+allowed: each edit touches at most one piece, hence a copy within the edits holds a whole piece, wherever the edits and the copy
+are, and no such copy is missed. Candidates are verified exactly: the word edit distance of the whole item to
 the best window of the text, at most ``rate`` times the item's words.
 
-Items with 8 to 15 words take walks of 8 steps. Items with 5 to 7 words must occur exactly. Items with fewer words, or null,
-never match. The items are held by every task in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more passes.
+Items with 8 to 15 words take walks of 8 steps. Items with 5 to 7 words must occur exactly: they are one piece. Items with fewer
+words, or null, never match. The items are held by every task in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more passes.
 No row is shuffled.
 """
 
@@ -52,15 +54,28 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def sampled(op: Decontam, steps: int) -> list[tuple[np.uint64, np.ndarray]]:
-    """(seed of the bits, sampled steps) of each walk; a rule, so every task draws the same. Each samples step 0, the window's first word,
-    so that most positions are told apart before they walk."""
+    """(seed of the bits, sampled steps) of each walk; a rule, so every task draws the same. Steps are drawn freely: a step that all walks
+    sampled would lose a window in all of them."""
     out = []
     for r in range(op.repeats):
         order = np.argsort(T.random_u64(steps, 101 + r), kind="stable")
-        out.append((T.random_u64(1, 31 + 7 * r)[0], np.append(0, np.sort(order[order > 0][: op.samples - 1]))))
+        out.append((T.random_u64(1, 31 + 7 * r)[0], np.sort(order[: op.samples])))
     return out
 
 
+def pieces(n: int, edits: int) -> list[tuple[int, int]]:
+    """(first word, words) of ``edits`` + 1 pieces of an item of ``n`` words, as equal as can be."""
+    cuts = [n * k // (edits + 1) for k in range(edits + 2)]
+    return [(a, z - a) for a, z in zip(cuts, cuts[1:]) if z > a]
+
+
+def _extended(key: np.ndarray, h: np.ndarray, at: np.ndarray, have: int, want: int) -> np.ndarray:
+    """The keys of ``want`` words from each position, from those of ``have``."""
+    for k in range(have, want):
+        key = key * T.U64(0xD6E8FEB86659FD93) + h[at + k]
+    return key
+
+
 def walk_keys(h: np.ndarray, bits: np.ndarray, at: np.ndarray, seed: np.uint64, steps: np.ndarray, allowed: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ``at`` whose walks pass every filter in ``allowed``, and their keys; ``bits`` are the words' random bits of this walk."""
     i, key, done = at.copy(), np.full(len(at), seed), 0
@@ -109,13 +124,22 @@ class Index:
                 keys = np.concatenate(keys)
                 order = np.argsort(keys, kind="stable")
                 self.tables.append((steps, seed, picks, allowed, keys[order], np.array(entries, np.int64)[order]))
-        self.short = []
-        for n in range(SHORTEST, 8):
-            own = [k for k, w in enumerate(self.words) if len(w) == n]
-            if own:
-                keys = np.array([T.gram_hash(self.words[k], n)[0] for k in own], np.uint64)
-                order = np.argsort(keys, kind="stable")
-                self.short.append((n, keys[order], np.array(own, np.int64)[order]))
+        cut = [(n, k, a) for k, w in enumerate(self.words) for a, n in pieces(len(w), op.most(len(w)))]
+        self.least = min((n for n, _, _ in cut), default=0)
+        self.seen = np.zeros(1 << min(24, max(16, (16 * len(cut)).bit_length())), bool)
+        self.pieces = []
+        for n in sorted({n for n, _, _ in cut}):
+            entries = np.array([(k, a) for size, k, a in cut if size == n], np.int64)
+            windows = np.concatenate([self.words[k][a : a + n] for k, a in entries.tolist()])
+            at = np.arange(0, len(windows), n)
+            key = _extended(windows[at], windows, at, 1, self.least)
+            self.seen[self._slot(key)] = True
+            key = _extended(key, windows, at, self.least, n)
+            order = np.argsort(key, kind="stable")
+            self.pieces.append((n, key[order], entries[order]))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> T.U64(65 - len(self.seen).bit_length())).astype(np.int64)
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (item, estimated start) of one chunk's words, in this order, and a word of the text each was found at; all
@@ -128,9 +152,17 @@ class Index:
                 bits, last = T.mix(h ^ seed), seed
             at, key = walk_keys(h, bits, position[left >= steps], seed, picks, allowed)
             found.append(self._rows(keys, key, at, entries))
-        for n, keys, own in self.short:
-            at = position[: max(0, len(h) - n + 1)][left[: max(0, len(h) - n + 1)] >= n]
-            found.append(self._rows(keys, T.gram_hash(h, n)[at], at, np.stack([own, np.zeros(len(own), np.int64)], 1)))
+        if self.pieces and len(h) >= self.least:
+            key = h[: len(h) - self.least + 1]
+            for k in range(1, self.least):
+                key = key * T.U64(0xD6E8FEB86659FD93) + h[k : len(h) - self.least + 1 + k]
+            at, have = np.flatnonzero(self.seen[self._slot(key)]), self.least
+            key = key[at]
+            for n, keys, entries in self.pieces:
+                ok = left[at] >= n
+                at = at[ok]
+                key, have = _extended(key[ok], h, at, have, n), n
+                found.append(self._rows(keys, key, at, entries))
         rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         text = np.searchsorted(first, rows[:, 2], "right")
         _, at = np.unique(rows[:, 0] * (1 << 44) + (rows[:, 1] + (1 << 20)) * 2 + text % 2, return_index=True)
