@@ -142,7 +142,7 @@ class Index:
         return (key >> T.U64(65 - len(self.seen).bit_length())).astype(np.int64)
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, estimated start) of one chunk's words, in this order, and a word of the text each was found at; all
+        """Distinct (item, estimated start) of each of one chunk's texts, in this order, and a word of the text each was found at; all
         count from the chunk's first word."""
         found, last, bits = [], None, h
         position = np.arange(len(h))
@@ -165,8 +165,12 @@ class Index:
                 found.append(self._rows(keys, key, at, entries))
         rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         text = np.searchsorted(first, rows[:, 2], "right")
-        _, at = np.unique(rows[:, 0] * (1 << 44) + (rows[:, 1] + (1 << 20)) * 2 + text % 2, return_index=True)
-        return rows[at, :2], rows[at, 2]
+        # One start may belong to several texts: those before it and after it, where the texts between are short.
+        at = np.lexsort((text, rows[:, 1], rows[:, 0]))
+        rows, text = rows[at], text[at]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (text[1:] != text[:-1])
+        return rows[new, :2], rows[new, 2]
 
     @staticmethod
     def _rows(keys: np.ndarray, key: np.ndarray, at: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -222,7 +226,7 @@ def _nearest(item: np.ndarray, at: np.ndarray, h: np.ndarray, lo: np.ndarray, hi
     last: dict[int, int] = {}
     for k in np.flatnonzero(shared >= n - most).tolist():
         text, start = int(lo[rest[k]]), int(at[rest[k]])
-        if start - last.get(text, -99) <= 2:
+        if start - last.get(text, -99) <= min(2, most):  # inside the window searched last
             continue
         last[text] = start
         best = best_window(item, h[a[k] : z[k]], most)

@@ -36,3 +36,32 @@ def test_leaks_edited_at_any_place(n):
         texts.append(" ".join(filler(20, r) + edited(t.split(), [k, *others], r) + filler(20, r)))
     found = hits(items, texts)
     assert [k for k in range(n) if found[k].get(k, 99) > most] == []
+
+
+@pytest.mark.parametrize("n", LENGTHS)
+def test_leaks_at_the_ends_of_texts(n):
+    """Whole texts, and passages at a text's end, that lost as many words as may be lost, at any place."""
+    r = np.random.default_rng(n)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(n))) for k in range(2 * n)]
+    most = decontam.Decontam().most(n)
+    texts = []
+    for k, t in items:
+        lost = {k % n, *[j for j in r.permutation(n).tolist() if j != k % n][: most - 1]}
+        texts.append(" ".join(filler(20 * (k < n), r) + [w for j, w in enumerate(t.split()) if j not in lost]))
+    found = hits(items, texts)
+    assert [k for k in range(2 * n) if found[k].get(k, 99) > most] == []
+
+
+def test_leaks_beside_short_texts():
+    """A text's candidate stays beside that of an earlier text with the same start, an empty text between them."""
+    words = [f"w{k}" for k in range(107)]
+    texts = [" ".join(["some", "other", "words", *words[:16]]), "", " ".join(words[16:])]
+    assert hits([(1, " ".join(words))], texts) == [{}, {}, {1: 16}]
+    buf, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    h, first, _, _ = decontam._words(buf, offs)
+    found, at = decontam.Index([(1, " ".join(words))], decontam.Decontam()).candidates(h, first)
+    assert {(start, text) for start, text in zip(found[:, 1].tolist(), (at >= 19).tolist(), strict=True)} >= {(3, False), (3, True)}
+
+
+def test_leaks_beside_a_false_start():
+    assert hits([(1, "a b a b a b c d")], ["a b a b a b a x b c d"]) == [{1: 1}]
