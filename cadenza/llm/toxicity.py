@@ -26,7 +26,7 @@ from ._spark import bounded
 _STOPS = np.zeros(256, bool)
 _STOPS[[10, 33, 46, 63]] = True
 _PREFIXES = (3, 4, 5, 6, 7)
-#: Words after which a sentence is cut in any case.
+#: Words after which a sentence is cut in any case, counted from its own start.
 _LONGEST = 32
 
 
@@ -59,9 +59,13 @@ def instances(buf: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray,
     starts, ends, _ = T.spans(T.ALNUM[low], offs)
     first = np.zeros(len(low) + 1, bool)
     first[1:][_STOPS[low]] = True
-    first[starts[np.arange(_LONGEST, len(starts), _LONGEST)]] = True
     first[offs] = True
     first[len(low)] = False
+    if len(starts):
+        sentence = np.cumsum(first[: len(low)])[starts]
+        opens = np.flatnonzero(np.diff(sentence, prepend=-1))
+        nth = np.arange(len(starts)) - np.repeat(opens, np.diff(np.append(opens, len(starts))))
+        first[starts[(nth > 0) & (nth % _LONGEST == 0)]] = True
     number = np.cumsum(first[: len(low)]) - 1
     begins = np.flatnonzero(first[: len(low)])
     doc = np.searchsorted(offs, begins, "right") - 1
