@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts and benchmark items are sequences of lower-cased words (letters and digits). The CGK embedding walks
+Texts and benchmark items are sequences of lower-cased words (letters and digits; in scripts without blanks between words each
+character is a word). The CGK embedding walks
 along a sequence; each step emits the current word and moves on if a random bit of (step, word) says so, so that sequences a
 few edits apart soon walk in step again and edit distance turns into Hamming distance. Each of ``repeats``
 walks has its own bits and its own ``samples`` sampled steps; the sampled words are the key of a window.
@@ -47,9 +48,29 @@ class Decontam:
         return int(self.rate * n) if n >= 8 else 0
 
 
+def _unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and bytes of the characters of scripts without blanks: Thai, Lao, Burmese, Khmer, kana, Han."""
+    at = np.flatnonzero(buf >= 0xE0)
+    if not len(at):
+        return at, at
+    a, b, c = (buf[np.minimum(at + k, len(buf) - 1)] for k in range(3))
+    three = ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & ((b == 0x80) | (b == 0x81) | ((b == 0x82) & (c < 0xA0)) | (b == 0x9E) | (b == 0x9F)))
+    three |= ((a == 0xE3) & (b != 0x85) & (b != 0x86)) | ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xEF) & (b >= 0xA4) & (b <= 0xAB))
+    four = (a == 0xF0) & (b >= 0xA0)
+    return at[three | four], np.where(four, 4, 3)[three | four]
+
+
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = T.lowered(buf, latin=True)
-    starts, ends, first = T.spans(T.ALNUM[low], offs)
+    inside = T.ALNUM[low]
+    starts, ends, first = T.spans(inside, offs)
+    at, size = _unspaced(low)
+    if len(at):
+        cuts = np.unique(np.concatenate([at, at + size]))
+        cuts = cuts[cuts < len(low)]
+        cuts = np.setdiff1d(cuts[inside[cuts]], starts, assume_unique=True)
+        starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
+        first = np.searchsorted(starts, offs)
     return T.span_hash(T.prefix(low), starts, ends), first, starts, ends
 
 

@@ -65,3 +65,20 @@ def test_leaks_beside_short_texts():
 
 def test_leaks_beside_a_false_start():
     assert hits([(1, "a b a b a b c d")], ["a b a b a b a x b c d"]) == [{1: 1}]
+
+
+@pytest.mark.parametrize("item", ["今日は天気がとても良いので公園まで歩いて行きました", "我们昨天在图书馆里看了很多有意思的书", "วันนี้อากาศดีมากเราจึงเดินไปที่สวนสาธารณะ", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇𠀈𠀉"])
+def test_leaks_in_scripts_without_blanks(item):
+    middle = len(item) // 2
+    texts = ["前文" + item + "後文abc", "abc " + item, item[:middle] + "x" + item[middle:], item[::-1], "kein Wort davon"]
+    assert hits([(1, item)], texts) == [{1: 0}, {1: 0}, {1: 1}, {}, {}]
+
+
+def test_words_of_mixed_scripts():
+    texts = ["ab今日 naïve후보 x日", "本", "", "y ไทยz"]
+    raw = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    _, first, starts, ends = decontam._words(buf, offs)
+    words = [buf[a:z].tobytes().decode() for a, z in zip(starts, ends, strict=True)]
+    assert words == ["ab", "今", "日", "naïve후보", "x", "日", "本", "y", "ไ", "ท", "ย", "z"]
+    assert first.tolist() == [0, 6, 7, 7, 12]
