@@ -2,12 +2,14 @@
 
 Texts stay in the Arrow buffer: words are found, hashed and windowed with NumPy over slices of
 about ``CHUNK`` bytes, so a Python worker's memory does not depend on the size of a batch, only on
-the longest single text. A word's hash is a polynomial over a table of random 64-bit byte values,
-read off a prefix sum, hence one pass over the bytes whatever the number of spans.
+the longest single text. Words are hashed eight bytes at a time (``word_hash``) wherever a hash proposes what may be
+equal; what is equal is decided by ``exact_codes``, which compares bytes. ``span_hash``, a polynomial read off a prefix
+sum, serves features only: long words made for it can share it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +69,68 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes over which a word is hashed by a digest.
+_LONG = 256
+
+
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every byte span. A step is a bijection of the eight bytes and of what came before, so spans of equal length that differ
+    in one such block never share a hash. Spans over ``_LONG`` bytes take a keyed digest."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U64(_BASE) + U64(1))
+    if not len(size):
+        return out
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    blocks = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    at, own, left = starts, slice(None), size
+    for done in range(0, _LONG, 8):
+        out[own] = mix(out[own] ^ (blocks[at] & _MASKS[np.minimum(left, 8)])) + _M1
+        more = left > 8
+        own = np.flatnonzero(size > done + 8)
+        if not len(own):
+            return out
+        at, left = at[more] + 8, left[more] - 8
+    for k in own.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, key=b"words").digest(), "little")
+    return out
+
+
+def exact_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for every byte span of ascending, disjoint ones: equal if and only if the bytes are."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64)
+    edges = np.empty(2 * n + 1, np.int64)  # spans and the gaps behind them in turn
+    edges[:-1:2], edges[1::2], edges[-1] = starts, ends, ends[-1]
+    every = pa.Array.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(buf))])
+    return every.take(pa.array(np.arange(0, 2 * n, 2))).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def exact_grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A number for every ``n`` consecutive codes: equal if and only if the codes are. Windows with equal hashes are compared; if some differ, another
+    hash is taken."""
+    seed = 0
+    while True:
+        grams = gram_hash(mix(codes.astype(np.uint64) + U64(seed * _BASE % (1 << 64))), n)
+        order = np.argsort(grams)
+        new = np.ones(len(grams), bool)
+        new[1:] = grams[order[1:]] != grams[order[:-1]]
+        a, b = order[1:][~new[1:]], order[:-1][~new[1:]]
+        if all((codes[a + k] == codes[b + k]).all() for k in range(n)):
+            out = np.empty(len(grams), np.int64)
+            out[order] = np.cumsum(new) - 1
+            return out
+        seed += 1
+
+
+def whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column and its texts' offsets into them, from 0."""
+    data, offs = buffers(column)
+    return data[offs[0] : offs[-1]], offs - offs[0]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; nulls have length 0."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ from a position reads the text only ``steps`` ahead, less than the shortest item
 item windows of every length. Walks miss some copies by chance, so items are also cut into one piece more than the edits
 allowed: each edit touches at most one piece, hence a copy within the edits holds a whole piece, wherever the edits and the copy
 are, and no such copy is missed. Candidates are verified exactly: the word edit distance of the whole item to
-the best window of the text, at most ``rate`` times the item's words.
+the best window of the text, at most ``rate`` times the item's words; words are compared by their bytes, after their hashes agree.
 
 Items with 8 to 15 words take walks of 8 steps. Items with 5 to 7 words must occur exactly: they are one piece. Items with fewer
 words, or null, never match. The items are held by every task in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more passes.
@@ -71,7 +71,7 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         cuts = np.setdiff1d(cuts[inside[cuts]], starts, assume_unique=True)
         starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
         first = np.searchsorted(starts, offs)
-    return T.span_hash(T.prefix(low), starts, ends), first, starts, ends
+    return T.word_hash(low, starts, ends), first, starts, ends
 
 
 def sampled(op: Decontam, steps: int) -> list[tuple[np.uint64, np.ndarray]]:
@@ -118,12 +118,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], op: Decontam) -> None:
         self.op, self.ids = op, []
         self.words: list[np.ndarray] = []
+        self.texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            h, _, _, _ = _words(raw, np.array([0, len(raw)]))
+            h, _, starts, ends = _words(raw, np.array([0, len(raw)]))
             if len(h) >= SHORTEST and item_id is not None:
                 self.ids.append(item_id)
                 self.words.append(h)
+                self.texts.append((T.lowered(raw, latin=True), starts.astype(np.int32), ends.astype(np.int32)))
         self.tables = []
         for steps, lo, hi in ((op.steps, op.steps, 1 << 60), (8, 8, op.steps)):
             own = [k for k, w in enumerate(self.words) if lo <= len(w) < hi]
@@ -256,18 +258,40 @@ def _nearest(item: np.ndarray, at: np.ndarray, h: np.ndarray, lo: np.ndarray, hi
     return out
 
 
-def _hits(index: Index, h: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
+def _confirmed(index: Index, item: int, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: tuple[int, int, int], text: tuple[int, int]) -> tuple[int, int, int] | None:
+    """A hit with its distance by the words' bytes. If hashes deceived, the nearest window of the whole text (its first and last word are given)."""
+    number: dict[bytes, int] = {}
+    code = lambda buf, a, z: np.array([number.setdefault(buf[x:y].tobytes(), len(number)) for x, y in zip(a.tolist(), z.tolist(), strict=True)], np.int64)
+    own, most = code(*index.texts[item]), index.op.most(len(index.words[item]))
+    distance, a, z = found
+    if distance == 0 and np.array_equal(own, code(low, starts[a:z], ends[a:z])):
+        return found
+    for lo, hi in ((a, z), text):
+        best = best_window(own, code(low, starts[lo:hi], ends[lo:hi]), most)
+        if best is not None:
+            return best[0], lo + best[1], lo + best[2]
+    return None
+
+
+def _hits(index: Index, h: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, offs: np.ndarray, buf: np.ndarray | None = None) -> list[list[dict]]:
+    """By text, its hits. Distances are told by hashes; with the texts' bytes ``buf``, every hit is confirmed by them."""
     rows: list[list[dict]] = [[] for _ in range(len(offs) - 1)]
     found, anchor = index.candidates(h, first)
     doc = np.searchsorted(first, anchor, "right") - 1
     cuts = np.searchsorted(found[:, 0], np.arange(len(index.words) + 1))
-    texts = {int(first[d]): d for d in np.unique(doc).tolist()}
+    texts, low = {int(first[d]): d for d in np.unique(doc).tolist()}, None
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         own = slice(cuts[k], cuts[k + 1])
         item = index.words[k]
         near = _nearest(item, found[own, 1], h, first[doc[own]], first[doc[own] + 1], index.op.most(len(item)))
-        for text, (distance, a, z) in near.items():
+        for text, hit in near.items():
             d = texts[text]
+            if buf is not None:
+                low = T.lowered(buf, latin=True) if low is None else low
+                hit = _confirmed(index, k, low, starts, ends, hit, (int(first[d]), int(first[d + 1])))
+                if hit is None:
+                    continue
+            distance, a, z = hit
             rows[d].append({"item_id": int(index.ids[k]), "distance": distance, "start": int(starts[a] - offs[d]), "end": int(ends[z - 1] - offs[d])})
     for own in rows:
         own.sort(key=lambda x: (x["item_id"], x["distance"], x["start"]))
@@ -289,7 +313,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], op: Decontam) -> DataFr
             rows: list[list[dict]] = []
             for _, _, buf, offs in T.chunks(b.column(text), 2 * T.CHUNK):
                 h, first, starts, ends = _words(buf, offs)
-                rows += _hits(cache[0], h, first, starts, ends, offs)
+                rows += _hits(cache[0], h, first, starts, ends, offs, buf)
             if any(len(x) for x in b.column(hits).to_pylist()):
                 rows = [(x or []) + y for x, y in zip(b.column(hits).to_pylist(), rows, strict=True)]
             cols = list(b.columns)

@@ -5,7 +5,8 @@
 2. Documents with equal sets form a class; only its smallest id goes on, so exact copies cost nothing.
 3. In each bucket every member is paired with the smallest id only. Pairs are compared signature batch
    by signature batch; a pair is dropped as soon as the posterior probability (uniform prior) that its
-   similarity reaches the threshold is below ``miss``. Survivors are verified on their full sets.
+   similarity reaches the threshold is below ``miss``. Survivors are verified on their full sets, whose shingles are
+   numbered by their words' bytes: no hash decides a link. Only equal sets (step 2) are told by a digest, of 128 bits over 64-bit shingle hashes.
 4. Links are contracted to components. Buckets that still hold several components are searched
    once more, now across components, in blocks of bounded size that compare and verify inside: so no link that
    could join two components is left out, and no group is expanded into rows of pairs.
@@ -59,7 +60,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndar
     """Hashes of each text's distinct shingles, sorted within the text, and the texts' offsets into them."""
     low = T.lowered(buf)
     starts, ends, first = T.spans(~T.SPACE[low], offs)
-    h = T.span_hash(T.prefix(low), starts, ends)
+    h = T.word_hash(low, starts, ends)
     n = np.diff(first)
     grams = T.gram_hash(h, words)
     out, at = [], np.zeros(len(n) + 1, np.int64)
@@ -76,6 +77,29 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndar
     return (np.concatenate(out) if out else h[:0]), at
 
 
+def exact_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted numbers that are equal if and only if the shingles' words are, over the whole column."""
+    raw, offs = T.whole(column)
+    low = T.lowered(raw)
+    starts, ends, first = T.spans(~T.SPACE[low], offs)
+    codes = T.exact_codes(low, starts, ends)
+    grams = T.exact_grams(codes, words)
+    short: dict[bytes, int] = {}
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= words:
+            out.append(np.unique(grams[a : b - words + 1]))
+        else:
+            out.append(np.array([len(grams) + short.setdefault(codes[a:b].tobytes(), len(short))] if b > a else [], np.int64))
+    return out
+
+
+def reach(a: np.ndarray, b: np.ndarray, op: NearDup) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and op.threshold[1] * both >= op.threshold[0] * (len(a) + len(b) - both)
+
+
 @lru_cache
 def _permutations(size: int) -> tuple[np.ndarray, np.ndarray]:
     r = T.random_u64(2 * size, 11)
@@ -177,24 +201,12 @@ def _pruned(pairs: DataFrame, op: NearDup) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, op: NearDup) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    num, den = op.threshold
 
     def run(batches):
         for x in bounded(batches, 4 << 20):
-            a, b = x.column(0).to_pylist(), x.column(1).to_pylist()
-            keep = []
-            sets = {}
-            for side, ids in ((2, a), (3, b)):
-                for lo, hi, buf, offs in T.chunks(x.column(side)):
-                    s, at = shingle_sets(buf, offs, op.words)
-                    for k in range(hi - lo):
-                        sets[side, lo + k] = s[at[k] : at[k + 1]]
-            for k in range(len(a)):
-                p, q = sets[2, k], sets[3, k]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both and den * both >= num * (len(p) + len(q) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(keep, pa.int64())), x.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+            sets = exact_sets(pa.concat_arrays([x.column(2), x.column(3)]), op.words)
+            keep = pa.array([k for k in range(x.num_rows) if reach(sets[k], sets[x.num_rows + k], op)], pa.int64())
+            yield pa.RecordBatch.from_arrays([x.column(0).take(keep), x.column(1).take(keep)], ["a", "b"])
 
     left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     full = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -269,16 +281,12 @@ def _suspects(members: DataFrame, op: NearDup) -> DataFrame:
 
 def _across(members: DataFrame, texts: DataFrame, op: NearDup) -> DataFrame:
     """Links between components, verified block by block on the full sets; pairs that earlier links of the block connect are skipped."""
-    num, den = op.threshold
 
     def run(batches):
         for g in _groups(batches):
             ids, comp = g.column("id").to_pylist(), g.column("comp").to_pylist()
-            sets, root = {}, {c: c for c in comp}
-            for lo, hi, buf, offs in T.chunks(g.column("text")):
-                s, at = shingle_sets(buf, offs, op.words)
-                for k in range(hi - lo):
-                    sets[ids[lo + k]] = s[at[k] : at[k + 1]]
+            root = {c: c for c in comp}
+            sets = dict(zip(ids, exact_sets(g.column("text").combine_chunks(), op.words), strict=True))
 
             def find(c):
                 while root[c] != c:
@@ -289,11 +297,9 @@ def _across(members: DataFrame, texts: DataFrame, op: NearDup) -> DataFrame:
             pairs = np.frombuffer(b"".join(x for x in g.column("pairs").to_pylist() if x), "<i8").reshape(-1, 2)
             for a, b in pairs.tolist():
                 x, y = find(of[a]), find(of[b])
-                if x != y:
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if both and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-                        root[x] = y
-                        links.append((min(a, b), max(a, b)))
+                if x != y and reach(sets[a], sets[b], op):
+                    root[x] = y
+                    links.append((min(a, b), max(a, b)))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 

@@ -9,10 +9,10 @@ for each of its windows. Equal windows have equal minimisers, hence meet in one
    batches. All other super-k-mers can't hold a repeated window and never travel as text.
 2. ``_packed``: the remaining ones are cut out of the texts. Equal strings within a batch are resolved at once: all but the first
    are repeats in full. What is left, at most one row a string and batch, goes to its minimiser's bucket. Minimisers
-   with more than ``heavy`` super-k-mers are dealt by the whole window instead, one window a string, so that no passage,
-   however common, fills one bucket.
-3. ``_resolved``: a bucket sorts its windows by content, then document, then start; all but the first of a run are removed. Equal
-   content is decided by comparing the windows' words, not their hash.
+   with more than ``heavy`` super-k-mers are dealt by the whole window instead, one window a string, and a task sends such a
+   window once, not once a batch, so that no passage, however common, fills one bucket.
+3. ``_resolved``: a bucket sorts its windows by content, then document, then start; all but the first of a run are removed. Hashes only
+   bring windows together: their words are numbered by their bytes, and equal content means equal numbers.
 4. Removed spans are joined back to the texts, whose shuffle is the one of step 2.
 """
 
@@ -32,6 +32,8 @@ from ._spark import bounded, parts_for, stored
 
 #: Bytes of the input's size estimate a bucket.
 BUCKET_BYTES = 3 << 20
+#: Heavy minimisers' windows held by a task before they are sent.
+COMMON = 50_000
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ _FOUND = "doc_id long, hash long, start int, n int, heavy boolean"
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = T.spans(~T.SPACE[buf], offs)
-    return T.span_hash(T.prefix(buf), starts, ends), first, starts, ends
+    return T.word_hash(buf, starts, ends), first, starts, ends
 
 
 def super_kmers(h: np.ndarray, first: np.ndarray, op: SubDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +127,15 @@ _ROWS = "bucket int, key long, doc_id long, start int, n int, words binary"
 def _packed(rows: DataFrame, op: SubDedup, buckets: int) -> DataFrame:
     """From (doc_id, text, found): strings for the buckets, and spans already known to go (n = -1, end in ``key``)."""
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "key", "doc_id", "start", "n", "words"])
+
+    def sent(strings: dict[tuple[int, bytes], tuple[int, int, int]]) -> list[tuple]:
+        return [(key % buckets, key, doc, start, n, text) for (key, text), (doc, start, n) in strings.items()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common: dict[tuple[int, bytes], tuple[int, int, int]] = {}  # heavy minimisers' windows, over all batches of the task
         for b in bounded(batches, 2 << 20):
             least: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             out: list[tuple] = []
@@ -141,32 +151,34 @@ def _packed(rows: DataFrame, op: SubDedup, buckets: int) -> DataFrame:
                     else:
                         pieces.append((key, start, n))
                 for key, start, n in pieces:
-                    text = b" ".join(words[start : start + n + op.words - 1])
+                    text, known = b" ".join(words[start : start + n + op.words - 1]), least
                     if key is None:
-                        key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                    old = least.get((key, text))
+                        key, known = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True), common
+                    old = known.get((key, text))
                     if old is None or (doc, start) < old[:2]:
-                        least[key, text] = (doc, start, n)
+                        known[key, text] = (doc, start, n)
                         if old is not None:
                             out.append((old[0] % buckets, old[1] + old[2] + op.words - 1, old[0], old[1], -1, b""))
                     elif (doc, start) != old[:2]:
                         out.append((doc % buckets, start + n + op.words - 1, doc, start, -1, b""))
-            out += [(key % buckets, key, doc, start, n, text) for (key, text), (doc, start, n) in least.items()]
+            out += sent(least)
+            if len(common) > COMMON:
+                out += sent(common)
+                common.clear()
             if out:
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "key", "doc_id", "start", "n", "words"])
+                yield batch(out)
+        if common:
+            yield batch(sent(common))
 
     return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "found").mapInArrow(run, _ROWS)
 
 
 def repeated_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents and starts of the windows of packed strings whose words start earlier elsewhere."""
-    parts, counts = [], [np.zeros(1, np.int64)]
-    for _, _, buf, offs in T.chunks(column):
-        h, first, _, _ = word_hashes(buf, offs)
-        parts.append(h)
-        counts.append(first[1:] + counts[-1][-1])
-    h, first = np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(counts)
+    buf, offs = T.whole(column)
+    starts, ends, first = T.spans(~T.SPACE[buf], offs)
+    codes = T.exact_codes(buf, starts, ends)
+    h = T.mix(codes.astype(np.uint64))
     row = np.repeat(np.arange(len(n)), n)
     at = T.ranges(first[:-1], n)
     where = T.ranges(start.astype(np.int64), n)
@@ -183,7 +195,7 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, column:
             a, b = at[lo : lo + 200_000], at[head[lo : lo + 200_000]]
             same = np.ones(len(a), bool)
             for k in range(words):
-                same &= h[a + k] == h[b + k]
+                same &= codes[a + k] == codes[b + k]
             differ[lo : lo + 200_000] = ~same
         if not differ.any():
             gone = (d != d[head]) | (where != where[head])
