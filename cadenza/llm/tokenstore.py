@@ -6,16 +6,18 @@ Format of a store folder
                    the start of the whole store, then the end of the part
     docs/          Parquet: part file, position in it, doc_id, n_tokens of every document
     manifest/      Parquet, one row a part: file, offsets file, base, n_docs, n_tokens, width, in ascending order
+    parts/, named/ Parquet: what the manifest is joined from
 Documents stand in ascending doc_id order over all parts (null ids first, repeated ids in the order of their texts).
 
-Documents are dealt by ranges of doc_id and sorted; each task encodes its range and writes one part. A part's base is
-the prefix sum of the parts before it, taken over one row a part. File names hold the attempt, and only
-files named by committed rows belong to the store, so a lost executor's or a speculative task's
-files are never read. Paths go through Arrow's file systems; local files are memory-mapped.
+Documents are dealt by ranges of doc_id and the text's first characters (so that null or repeated ids don't fill one part) and sorted; each
+task encodes its range and writes one part. A part's base is the prefix sum of the parts before it, taken over one row a
+part. Names of both kinds of files hold the attempt, and only files named by committed rows belong to the store, so a lost
+executor's or a speculative task's files are never read, nor written over. Paths go through Arrow's file systems; local files are memory-mapped.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,6 +37,8 @@ from ._spark import bounded, parts_for, scratch
 PART_BYTES = 24 << 20
 #: Pieces kept by a worker.
 _CACHE = 300_000
+#: Characters of a text that deal rows of one id.
+_DEALT = 32
 #: Blanks that stand beside white space or at a text's border.
 _WHITE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _ODD = rf"\A | \z| {_WHITE}|{_WHITE} |\x01"
@@ -48,15 +52,17 @@ class Encoder:
     Byte-level pre-tokenization never lets a token cross the border before a single blank that stands between two other
     characters, nor the one between a letter and a punctuation mark. So a column of texts is cut there by Arrow, its distinct
     pieces are looked up, the unknown ones are encoded together (a led piece's first token is the only one that starts with
-    the blank's byte symbol), and the texts' ids are gathered from the pieces' by position. Texts with other blanks
-    are encoded on their own.
+    the blank's byte symbol), and the texts' ids are gathered from the pieces' by position. Texts with other blanks, and those that
+    hold one of the vocabulary's added tokens, which the tokenizer looks for before anything else, are encoded on their own.
     """
 
-    def __init__(self, path: str, end: int = 0) -> None:
+    def __init__(self, path: str, end: int = 0, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD, *map(re.escape, sorted(added))])
         n = self.tokenizer.get_vocab_size()
         self.width = 2 if n <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
@@ -93,7 +99,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, the end id behind each text, and the texts' numbers of ids."""
         column = column.fill_null("")
-        odd = np.flatnonzero(pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False))
         whole = dict(zip(odd.tolist(), self._each(column.take(pa.array(odd)).to_pylist()), strict=True))
         if whole:
             mask = np.zeros(len(column), bool)
@@ -131,13 +137,13 @@ class Encoder:
         return ids, lengths
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def _encoder(path: str, end: int) -> Encoder:
-    if (path, end) not in _encoders:
-        _encoders[path, end] = Encoder(path, end)
-    return _encoders[path, end]
+def _encoder(*key) -> Encoder:
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def _files(folder: str) -> tuple[fs.FileSystem, str]:
@@ -154,17 +160,19 @@ def _mapped(folder: str, name: str, dtype: np.dtype) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype)
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part_bytes: int = PART_BYTES) -> None:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part_bytes: int = PART_BYTES, special_as_text: bool = False) -> None:
     """Encodes doc_id and text of every row into a new store. Null and empty texts are the end id alone. Other columns are ignored.
-    An empty table gives a store of no parts."""
+    An empty table gives a store of no parts. A special token's string in a text becomes its id, as the library has it, or with
+    ``special_as_text`` the ids of an ordinary text."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts_for(docs, part_bytes, 2, 50_000), "doc_id").sortWithinPartitions("doc_id", "text")
+    n_parts = parts_for(docs, part_bytes, 2, 50_000)
+    rows = rows.repartitionByRange(n_parts, "doc_id", F.substring("text", 1, _DEALT)).sortWithinPartitions("doc_id", "text")
     files, root = _files(folder)
     files.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, c = _encoder(tokenizer, end), TaskContext.get()
+        enc, c = _encoder(tokenizer, end, special_as_text), TaskContext.get()
         name = f"part-{c.partitionId():06d}-{c.taskAttemptId()}-{uuid.uuid4().hex[:8]}.tokens"
         out, position, local = None, 0, 0
         files, root = _files(folder)
@@ -188,37 +196,41 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part
     index = spark.read.parquet(f"{folder}/docs")
     parts = index.groupBy("part", "file", "width").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))).withColumn("offsets", F.regexp_replace("file", "tokens$", "offsets"))
-    parts.coalesce(1).sortWithinPartitions("part").write.parquet(f"{folder}/manifest")
-    _write_offsets(spark, folder)
+    parts = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    parts.write.parquet(f"{folder}/parts")
+    parts = spark.read.parquet(f"{folder}/parts")
+    _write_offsets(index, parts, folder, max(1, n_parts // 4))
+    named = spark.read.parquet(f"{folder}/named")
+    parts.join(named, "file").select("part", "file", "width", "n_docs", "n_tokens", "base", "offsets").coalesce(1).sortWithinPartitions("part").write.parquet(f"{folder}/manifest")
 
 
-def _write_offsets(spark: SparkSession, folder: str) -> None:
-    """Each part's document offsets, counted from the store's start. Writing them again gives the same file."""
-    index, parts = spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/manifest")
-    rows = index.join(parts.select("file", "offsets", "base", F.col("n_tokens").alias("part_tokens")), "file")
-    rows = rows.select("offsets", "position", (F.col("base") + F.col("local_start")).alias("start"), (F.col("base") + F.col("part_tokens")).alias("stop"))
-    rows = rows.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "offsets").sortWithinPartitions("offsets", "position")
+def _write_offsets(index: DataFrame, parts: DataFrame, folder: str, tasks: int) -> None:
+    """Each part's document offsets, counted from the store's start, and in named/ the files that hold them."""
+    rows = index.join(parts.select("file", "base", F.col("n_tokens").alias("part_tokens")), "file")
+    rows = rows.select("file", "position", (F.col("base") + F.col("local_start")).alias("start"), (F.col("base") + F.col("part_tokens")).alias("stop"))
+    rows = rows.repartition(tasks, "file").sortWithinPartitions("file", "position")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
-        name, out, stop = None, None, 0
+        attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        part, out, stop, named = None, None, 0, []
         for b in batches:
             for k in b.column(0).unique().to_pylist():
                 own = b.filter(pc.equal(b.column(0), k))
-                if k != name:
+                if k != part:
                     if out is not None:
                         out.write(np.array([stop], "<u8").tobytes())
                         out.close()
-                    name, out = k, files.open_output_stream(f"{root}/{k}")
+                    named.append((k, f"{k.removesuffix('.tokens')}-{attempt}.offsets"))
+                    part, out = k, files.open_output_stream(f"{root}/{named[-1][1]}")
                     stop = own.column(3)[0].as_py()
                 out.write(own.column(2).to_numpy().astype("<u8").tobytes())
         if out is not None:
             out.write(np.array([stop], "<u8").tobytes())
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], ["done"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*named, strict=True)], ["file", "offsets"])
 
-    rows.mapInArrow(write, "done int").agg(F.sum("done")).collect()
+    rows.mapInArrow(write, "file string, offsets string").write.parquet(f"{folder}/named")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,10 +257,10 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int = 0, folder: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int = 0, folder: str | None = None, special_as_text: bool = False) -> DataFrame:
     """Writes a store (in the shared folder unless one is named) and reads it back."""
     folder = folder or scratch(docs.sparkSession, "tokens")
-    write_store(docs, folder, tokenizer, end)
+    write_store(docs, folder, tokenizer, end, special_as_text=special_as_text)
     return read_store(docs.sparkSession, folder)
 
 
