@@ -16,9 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named, as in local tests."""
+    """The folder that driver and executors share. Where none is named a local session takes a temporary one; on a cluster, whose machines
+    wouldn't see it, that is an error."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="cadenza-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -49,6 +53,20 @@ def parts_for(df: DataFrame, each: int, least: int = 1, most: int = 1_000_000) -
     return min(most, max(least, n))
 
 
+def shuffle_parts(df: DataFrame, each: int) -> int:
+    """Parts of about ``each`` bytes, and at least the session's number of shuffle partitions."""
+    return parts_for(df, each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def own_names(df: DataFrame) -> Callable[[str], str]:
+    """Names for working columns, led by so many underscores that none of the caller's columns has one."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any(c.startswith(lead) for c in taken):
+        lead += "_"
+    return lambda name: lead + name
+
+
 def spread(key: Column, *keys: Column) -> Column:
     """A second join key that makes Spark deal both sides anew, so that AQE can split a hot partition of either."""
     return F.xxhash64(key, *keys)

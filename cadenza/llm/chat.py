@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-from ._spark import bounded
+from ._spark import bounded, shuffle_parts
 
+#: Bytes of Catalyst's size estimate a part.
+PART_BYTES = 16 << 20
 #: Other names of the roles in nested layouts.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
@@ -146,7 +148,8 @@ TURNS = "conv_id long, turn long, role string, text string"
 
 
 def json_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Canonical turns of JSON strings; broken, null and unmapped records give none."""
+    """Canonical turns of JSON strings; null and unmapped records give none, nor do broken ones: those that don't parse, are nested too deep to be
+    walked, or hold half a surrogate pair, which no UTF-8 text can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
@@ -154,7 +157,8 @@ def json_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
             for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     turns = value_turns(json.loads(raw)) if raw else None
-                except ValueError:
+                    "".join(x for turn in turns or [] for x in turn).encode()
+                except (ValueError, RecursionError):
                     turns = None
                 out += [(key, k, role, text) for k, (role, text) in enumerate(turns or [])]
             cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -245,8 +249,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     Turns stand in the order of turn, then role, then text. Rows of one conversation follow each other within a partition. Null ids
     form one conversation. No turns, no segments.
     """
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = turns.select("conv_id", "turn", "role", "text").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = turns.select("conv_id", "turn", "role", "text").repartition(shuffle_parts(turns, PART_BYTES), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, position, at = object(), 0, 0

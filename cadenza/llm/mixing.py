@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stored
+from ._spark import own_names, stored
 
 MOST_CELLS = 100_000
 AXES = ("source", "lang", "topic")
@@ -98,26 +98,27 @@ def _rake_cells(cells: DataFrame, mix: Mix) -> DataFrame:
     return cells.sparkSession.createDataFrame([(*(r[a] for a in AXES), float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, probability double")
 
 
+def _wanted(sums: DataFrame, axis: str, mix: Mix) -> DataFrame:
+    """``targets`` as a DataFrame (axis, want), from (axis, t): for any number of categories."""
+    everything = sums.agg(F.sum("t")).first()[0] or 0
+    named = mix.shares.get(axis, {})
+    present = {r[0] for r in sums.where(F.col(axis).isin(list(named)) & (F.col("t") > 0)).select(axis).collect()} if named else set()
+    named = {k: v for k, v in named.items() if k in present}
+    power = 1.0 if named else mix.temperature.get(axis, 1.0)
+    share = F.when(F.col("t") > 0, F.pow("t", F.lit(power))).otherwise(0.0)
+    rest = sums.where(~F.col(axis).isin(list(named))) if named else sums
+    scale = rest.agg(F.sum(share)).first()[0] or 1.0
+    raw = F.lit(max(0.0, 1.0 - sum(named.values()))) * share / scale
+    for k, v in named.items():
+        raw = F.when(F.col(axis) == k, F.lit(float(v))).otherwise(raw)
+    sums = sums.withColumn("share", raw)
+    whole = sums.agg(F.sum("share")).first()[0] or 1.0
+    return sums.select(axis, (F.col("share") * (mix.budget * everything / whole)).alias("want"))
+
+
 def _rake_frames(cells: DataFrame, mix: Mix) -> DataFrame:
     """The same rule for any number of cells: marginals are aggregates, factors are joined; each round cuts the lineage."""
-    everything = cells.agg(F.sum("tokens")).first()[0] or 0
-    wants = []
-    for axis in AXES:
-        sums = cells.groupBy(axis).agg(F.sum("tokens").cast("double").alias("t"))
-        named = {k: v for k, v in mix.shares.get(axis, {}).items()}
-        present = {r[0] for r in sums.where(F.col(axis).isin(list(named)) & (F.col("t") > 0)).select(axis).collect()} if named else set()
-        named = {k: v for k, v in named.items() if k in present}
-        power = 1.0 if named else mix.temperature.get(axis, 1.0)
-        share = F.when(F.col("t") > 0, F.pow("t", F.lit(power))).otherwise(0.0)
-        rest = sums.where(~F.col(axis).isin(list(named))) if named else sums
-        scale = rest.agg(F.sum(share)).first()[0] or 1.0
-        left = max(0.0, 1.0 - sum(named.values()))
-        raw = F.lit(left) * share / scale
-        for k, v in named.items():
-            raw = F.when(F.col(axis) == k, F.lit(v)).otherwise(raw)
-        sums = sums.withColumn("share", raw)
-        whole = sums.agg(F.sum("share")).first()[0] or 1.0
-        wants.append(stored(sums.select(axis, (F.col("share") * (mix.budget * everything / whole)).alias("want")), "targets"))
+    wants = [stored(_wanted(cells.groupBy(axis).agg(F.sum("tokens").cast("double").alias("t")), axis, mix), "targets") for axis in AXES]
     now = stored(cells.withColumn("p", F.lit(min(1.0, mix.budget))), "cells")
     for _ in range(mix.rounds):
         new = now.withColumn("old", F.col("p"))
@@ -162,7 +163,21 @@ def sampled(docs: DataFrame, mix: Mix = Mix(), topic_col: Column | None = None)
     """The rows of ``docs``, unchanged, that the mixture keeps. The texts are read twice instead of shuffled."""
     kept = probabilities(counted(docs, topic_col), mix)
     source, lang, topic, _ = _shape(docs, topic_col)
+    own = own_names(docs)
     cell = F.struct(source.alias("source"), lang.alias("lang"), topic.alias("topic"))
-    table = kept.select(F.struct(*AXES).alias("_cell"), F.col("probability").alias("_probability"))
-    out = docs.withColumn("_cell", cell).join(table, "_cell")
-    return out.where(uniform(F.col("doc_id"), mix.seed) < F.col("_probability")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    table = kept.select(F.struct(*AXES).alias(own("cell")), F.col("probability").alias(own("probability")))
+    out = docs.withColumn(own("cell"), cell).join(table, own("cell"))
+    return out.where(uniform(F.col("doc_id"), mix.seed) < F.col(own("probability"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def marginals(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """What the mixture reaches, from rows of ``mixed``: axis, category, tokens, wanted, expected (tokens), gap (expected / wanted - 1, null where
+    nothing is wanted). A gap stays where probabilities have come to 1, or where no weighting meets all targets."""
+    long = rows.select("n_tokens", "probability", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("category")) for a in AXES])).alias("x"))
+    sums = stored(long.groupBy("x.axis", "x.category").agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected")), "marginals")
+    wanted = None
+    for axis in AXES:
+        own = _wanted(sums.where(F.col("axis") == axis).select(F.col("category").alias(axis), F.col("tokens").cast("double").alias("t")), axis, mix)
+        own = own.select(F.lit(axis).alias("axis"), F.col(axis).alias("category"), F.col("want").alias("wanted"))
+        wanted = own if wanted is None else wanted.unionByName(own)
+    return sums.join(wanted, ["axis", "category"]).select("axis", "category", "tokens", "wanted", "expected", (F.col("expected") / F.nullif("wanted", F.lit(0.0)) - 1.0).alias("gap"))

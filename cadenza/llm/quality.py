@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import own_names
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 _POSITION_BITS = 31
@@ -30,31 +32,33 @@ def measured(docs: DataFrame) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+``; null, empty and blank texts have none. Existing columns of these names are replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != ""))
-    rows = rows.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    n = F.size("_words")
-    at = lambda i: F.get("_words", i)
+    own = own_names(docs)
+    words, lines, sorted_, alike, texts, starts = map(own, ("words", "lines", "sorted", "alike", "texts", "starts"))
+    rows = docs.withColumn(words, F.filter(F.split(text, SPACE), lambda w: w != ""))
+    rows = rows.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    n = F.size(words)
+    at = lambda i: F.get(words, i)
     window_key = F.transform(
         F.when(n > WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>")),
         lambda i: F.shiftleft(F.xxhash64(*[at(i + k) for k in range(WINDOW)]), _POSITION_BITS).bitwiseOR(i.cast("long")),
     )
-    rows = rows.withColumn("_sorted", F.sort_array(F.transform(window_key, lambda x: F.coalesce(x, F.lit(0).cast("long")))))
-    rows = rows.withColumn("_alike", _alike("_sorted", lambda x: F.shiftright(x, _POSITION_BITS), lambda x: x.bitwiseAND(F.lit(_POSITION).cast("long")).cast("int")))
-    rows = rows.withColumn("_texts", F.when(F.size("_alike") > 0, F.sort_array(F.transform("_alike", lambda i: F.struct(F.array_join(F.slice("_words", i + 1, WINDOW), " ").alias("w"), i.alias("i"))))).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
-    rows = rows.withColumn("_starts", F.sort_array(_alike("_texts", lambda x: x["w"], lambda x: x["i"])))
-    gap = F.zip_with(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(0))), F.slice("_starts", 1, F.greatest(F.size("_starts") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(WINDOW)))
-    covered = F.when(F.size("_starts") > 0, F.aggregate(gap, F.lit(WINDOW), lambda acc, x: acc + x)).otherwise(0)
+    rows = rows.withColumn(sorted_, F.sort_array(F.transform(window_key, lambda x: F.coalesce(x, F.lit(0).cast("long")))))
+    rows = rows.withColumn(alike, _alike(sorted_, lambda x: F.shiftright(x, _POSITION_BITS), lambda x: x.bitwiseAND(F.lit(_POSITION).cast("long")).cast("int")))
+    rows = rows.withColumn(texts, F.when(F.size(alike) > 0, F.sort_array(F.transform(alike, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i"))))).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+    rows = rows.withColumn(starts, F.sort_array(_alike(texts, lambda x: x["w"], lambda x: x["i"])))
+    gap = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(WINDOW)))
+    covered = F.when(F.size(starts) > 0, F.aggregate(gap, F.lit(WINDOW), lambda acc, x: acc + x)).otherwise(0)
     long = lambda c: c.cast("long")
     return rows.withColumns(
         {
             "n_words": long(n),
-            "word_chars": long(F.length(F.array_join("_words", ""))),
+            "word_chars": long(F.length(F.array_join(words, ""))),
             "n_symbols": long(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))),
-            "n_lines": long(F.size("_lines")),
-            "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
+            "n_lines": long(F.size(lines)),
+            "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
             "n_repeat_words": long(covered),
         }
-    ).drop("_words", "_lines", "_sorted", "_alike", "_texts", "_starts")
+    ).drop(words, lines, sorted_, alike, texts, starts)
 
 
 def _alike(column: str, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import own_names
+
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -35,12 +37,13 @@ _INT_ARRAY = "array(" + ",".join(map(str, _CLASS_OF)) + ")"
 class Scan:
     """Candidates are runs of ``[A-Za-z0-9+/_=-]`` of at least ``least`` characters. A candidate is a secret if its log-likelihood ratio
     reaches ``total`` and ``mean`` a pair. Ordinary identifiers are counted from about ``sample_docs`` documents, chosen by a hash of
-    their ids; ``sample_random`` random strings are made."""
+    their ids, texts of at most ``sample_longest`` characters; ``sample_random`` random strings are made."""
 
     least: int = 16
     total: float = 25.0
     mean: float = 1.2
     sample_docs: int = 2000
+    sample_longest: int = 20_000
     sample_random: int = 3000
     smooth: float = 0.5
 
@@ -91,7 +94,7 @@ def ordinary(docs: DataFrame, scan: Scan) -> DataFrame:
     """Labelled ordinary identifiers: the words of a bounded sample of documents without a base match."""
     some = docs.where("text is not null").where(~F.col("text").rlike(ASSIGN) & ~F.col("text").rlike(ACCESS) & ~F.col("text").rlike(HEX))
     every = max(1, docs.count() // scan.sample_docs)
-    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).where(F.length("text") <= 20_000).select("text")
+    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).where(F.length("text") <= scan.sample_longest).select("text")
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("token"))
     return words.select("token", F.lit(False).alias("secret"))
 
@@ -104,33 +107,36 @@ def running_sums(rows: DataFrame, lengths: str, out: str) -> DataFrame:
 
     Each step is a column of its own: an array written inside a lambda would be made again for every element.
     """
-    n = F.size(lengths)
+    own, n = own_names(rows), F.size(lengths)
+    each, blocks, bases = map(own, ("width", "blocks", "bases"))
     width = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
-    rows = rows.withColumn("_width", width)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / F.col("_width")).cast("int"))).otherwise(F.array().cast(_INTS))
-    rows = rows.withColumn("_blocks", F.transform(starts, lambda b: F.slice(lengths, b * F.col("_width") + 1, F.col("_width"))))
+    rows = rows.withColumn(each, width)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / F.col(each)).cast("int"))).otherwise(F.array().cast(_INTS))
+    rows = rows.withColumn(blocks, F.transform(starts, lambda b: F.slice(lengths, b * F.col(each) + 1, F.col(each))))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_INTS).alias("out"))
     scan = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    rows = rows.withColumn("_bases", scan(F.transform("_blocks", total)))
-    sums = F.zip_with("_bases", "_blocks", lambda base, xs: F.transform(scan(xs), lambda x: x + base))
-    return rows.withColumn(out, F.flatten(sums)).drop("_width", "_blocks", "_bases")
+    rows = rows.withColumn(bases, scan(F.transform(blocks, total)))
+    sums = F.zip_with(bases, blocks, lambda base, xs: F.transform(scan(xs), lambda x: x + base))
+    return rows.withColumn(out, F.flatten(sums)).drop(each, blocks, bases)
 
 
 def locate(rows: DataFrame, text: Column, pattern: str, out: str, group: int = 0) -> DataFrame:
     """Adds ``out``: array<struct<s, e, v>> of the leftmost non-overlapping matches, code point offsets (end exclusive) and a group."""
+    own = own_names(rows)
+    found, gaps, sizes, steps, before, values = map(own, ("found", "gaps", "sizes", "steps", "before", "values"))
     none = F.array().cast("array<string>")
     every = lambda k: F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(k))).otherwise(none)
-    rows = rows.withColumn("_found", every(0))
-    n = F.size("_found")
-    rows = rows.withColumn("_gaps", F.when(n > 0, F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, n)).otherwise(F.array().cast(_INTS)))
-    rows = rows.withColumn("_sizes", F.transform("_found", lambda x: F.length(x)))
-    rows = rows.withColumn("_steps", F.zip_with("_gaps", "_sizes", lambda a, b: a + b))
-    rows = running_sums(rows, "_steps", "_before")
-    rows = rows.withColumn("_values", F.col("_found") if group == 0 else F.when(n > 0, every(group)).otherwise(none))
-    zipped = F.arrays_zip(F.col("_before").alias("b"), F.col("_gaps").alias("g"), F.col("_sizes").alias("n"), F.col("_values").alias("v"))
+    rows = rows.withColumn(found, every(0))
+    n = F.size(found)
+    rows = rows.withColumn(gaps, F.when(n > 0, F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, n)).otherwise(F.array().cast(_INTS)))
+    rows = rows.withColumn(sizes, F.transform(found, lambda x: F.length(x)))
+    rows = rows.withColumn(steps, F.zip_with(gaps, sizes, lambda a, b: a + b))
+    rows = running_sums(rows, steps, before)
+    rows = rows.withColumn(values, F.col(found) if group == 0 else F.when(n > 0, every(group)).otherwise(none))
+    zipped = F.arrays_zip(F.col(before).alias("b"), F.col(gaps).alias("g"), F.col(sizes).alias("n"), F.col(values).alias("v"))
     spans = F.transform(zipped, lambda x: F.struct((x["b"] + x["g"]).alias("s"), (x["b"] + x["g"] + x["n"]).alias("e"), x["v"].alias("v")))
-    return rows.withColumn(out, spans).drop("_found", "_gaps", "_sizes", "_steps", "_before", "_values")
+    return rows.withColumn(out, spans).drop(found, gaps, sizes, steps, before, values)
 
 
 def scan_secrets(docs: DataFrame, ratios: list[float], scan: Scan = Scan()) -> DataFrame:
@@ -140,19 +146,22 @@ def scan_secrets(docs: DataFrame, ratios: list[float], scan: Scan = Scan()) -> D
     span are left out. An existing column spans is replaced. One pass; no shuffle.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = locate(docs.drop("spans"), text, ASSIGN, "_assign", 2)
-    rows = rows.withColumn("_assign", F.filter("_assign", lambda x: F.length(x["v"]) >= LEAST_VALUE))
-    rows = locate(locate(locate(rows, text, ACCESS, "_access"), text, HEX, "_hex"), text, scan.candidate, "_random")
+    docs = docs.drop("spans")
+    own = own_names(docs)
+    assign, access, hex_, random, base_ = map(own, ("assign", "access", "hex", "random", "base"))
+    rows = locate(docs, text, ASSIGN, assign, 2)
+    rows = rows.withColumn(assign, F.filter(assign, lambda x: F.length(x["v"]) >= LEAST_VALUE))
+    rows = locate(locate(locate(rows, text, ACCESS, access), text, HEX, hex_), text, scan.candidate, random)
     matrix = "array(" + ",".join(f"{x:.6f}D" for x in ratios) + ")"
     score = lambda token: F.aggregate(_pairs(_chars(token)), F.lit(0.0), lambda acc, p: acc + F.get(F.expr(matrix), p))
     limit = lambda token: F.greatest(F.lit(scan.total), F.lit(scan.mean) * (F.length(token) - 1))
-    rows = rows.withColumn("_random", F.filter("_random", lambda x: score(x["v"]) >= limit(x["v"])))
+    rows = rows.withColumn(random, F.filter(random, lambda x: score(x["v"]) >= limit(x["v"])))
     kind = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].cast("long").alias("start"), F.lit(k).alias("kind"), x["e"].cast("long").alias("end")))
-    base = F.concat(kind("_assign", 0), kind("_access", 1), kind("_hex", 2))
-    rows = rows.withColumn("_base", F.sort_array(base))
-    extra = F.filter(kind("_random", 3), lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    rows = rows.withColumn("spans", F.sort_array(F.concat("_base", extra)))
-    return rows.drop("_assign", "_access", "_hex", "_random", "_base")
+    base = F.concat(kind(assign, 0), kind(access, 1), kind(hex_, 2))
+    rows = rows.withColumn(base_, F.sort_array(base))
+    extra = F.filter(kind(random, 3), lambda x: ~F.exists(base_, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    rows = rows.withColumn("spans", F.sort_array(F.concat(base_, extra)))
+    return rows.drop(assign, access, hex_, random, base_)
 
 
 def written(spans: Column) -> Column:

@@ -5,8 +5,9 @@ bytes, lower-cased); a document is toxic with probability 1 - prod(1 - p(sentenc
 only document labels; the noisy-or's gradient decides which sentences carry them, so scoring also tells
 where the offending sentences are. Label, language, source and id are never features.
 
-Training uses a bounded sample of labelled rows (``toxic_docs`` and ``clean_docs`` rows, in the order of a hash of the id,
-texts of at most ``longest`` characters); scoring reads every whole text.
+Training uses a bounded sample of labelled rows (``toxic_docs`` and ``clean_docs`` ids, in the order of a hash of the id, texts of at most
+``longest`` characters, one text an id, and of each label no more than half of ``sample_bytes`` in that order); scoring
+reads every whole text.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ class ToxicityFit:
     toxic_docs: int = 1500
     clean_docs: int = 4000
     longest: int = 50_000
+    sample_bytes: int = 32 << 20
     bits: int = 18
     evidence: float = 11.0
     scale: float = 2.0
@@ -113,7 +115,7 @@ def noisy_or(logits: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, np.logaddexp(0, logits), n))
 
 
-def fit(texts: list[str], labels: list[int], op: ToxicityFit = ToxicityFit()) -> ToxicityModel:
+def fit(texts: list[str] | pa.Array, labels: list[int], op: ToxicityFit = ToxicityFit()) -> ToxicityModel:
     """Projected AdaGrad on the documents' cross entropy, from the features' document odds less one standard error.
 
     Weights stay non-negative, so that words without evidence neither add to a sentence nor hide what it holds, and the bias is fixed
@@ -123,7 +125,7 @@ def fit(texts: list[str], labels: list[int], op: ToxicityFit = ToxicityFit()) ->
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(size, np.float32), -30.0, op.threshold)
     y = np.asarray(labels, float)
-    column, copies = pa.array(texts, pa.string()), _Copies()
+    column, copies = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), _Copies()
     n1, n0 = np.zeros(size), np.zeros(size)
     # Two passes over the sample: the first counts documents by feature, the second keeps the few features that are evidence.
     for lo, hi, buf, offs in T.chunks(column):
@@ -177,9 +179,22 @@ def train(docs: DataFrame, labels: DataFrame, op: ToxicityFit = ToxicityFit()) -
     chosen = [r for y, n in ((0, op.clean_docs), (1, op.toxic_docs)) for r in marked.where(F.col("lo") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.col("lo").cast("int").alias("y")).collect()]
     if not chosen:
         return fit([], [], op)
-    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int")
-    rows = docs.where("text is not null").where(F.length("text") <= op.longest).select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "y").collect()
-    return fit([r.text for r in rows], [r.y for r in rows], op)
+    def of(ids: list, value: Column) -> DataFrame:
+        """One value an id: rows that repeat an id are to repeat its text."""
+        picked = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
+        own = docs.where("text is not null").where(F.length("text") <= op.longest).select(F.col("doc_id").cast("long").alias("doc_id"), value.alias("value"))
+        return own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("value").alias("value"))
+
+    sizes = {r.doc_id: r.value for r in of(chosen, F.octet_length("text")).collect()}
+    held, bounded_ids = [0, 0], []
+    for r in chosen:
+        if r.doc_id in sizes and held[r.y] + sizes[r.doc_id] <= op.sample_bytes // 2:
+            held[r.y] += sizes[r.doc_id]
+            bounded_ids.append(r)
+    if not bounded_ids:
+        return fit([], [], op)
+    rows = of(bounded_ids, F.col("text")).orderBy("doc_id").select("value", "y").toArrow()
+    return fit(rows.column("value").combine_chunks(), rows.column("y").to_pylist(), op)
 
 
 def score(docs: DataFrame, model: ToxicityModel, with_sentences: bool = True) -> DataFrame:
