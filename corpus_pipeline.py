@@ -24,8 +24,19 @@ from cadenza.llm.toxicity import ToxicityFit, score, train
 ORACLE_SQL: str | None = None
 
 
+def _own(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
+def _bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, in one struct, all other columns, so that no name of theirs meets one of an operator's."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in _own(docs)]) if _own(docs) else F.lit(None).cast("struct<none:string>")
+    return docs.select("doc_id", "text", rest.alias("rest"))
+
+
 def _same(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The columns of ``docs``, in their order, from rows of ``_bare``."""
+    return df.select(*[F.col(f"rest.`{c}`").alias(c) if c in _own(docs) else F.col(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,23 +44,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     op = ToxicityFit()
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model = train(text, table(spark, sf_dir, "labels"), op)
-    return _same(score(docs, model, with_sentences=False).where(F.col("score") < op.threshold), docs)
+    return _same(score(_bare(docs), model, with_sentences=False).where(F.col("score") < op.threshold), docs)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     gone = near_duplicates(docs, NearDup(words=5, threshold=(80, 100))).where(~F.col("kept")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return _same(docs.join(gone, "doc_id", "left_anti"), docs)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return _same(find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0), docs)
+    return _same(find_leaks(_bare(docs), table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the raked mixture keeps."""
-    return _same(sampled(docs, Mix()), docs)
+    return sampled(docs, Mix())
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
