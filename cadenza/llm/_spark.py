@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,11 +84,20 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers are reused, and what one stage held would count in the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def bounded(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices batches to about ``most`` bytes each, and gives Arrow's unused memory back after each batch."""
+    """Slices batches to about ``most`` bytes each, and gives unused memory back after each batch."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * most / max(most, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()

@@ -17,6 +17,7 @@ executor's or a speculative task's files are never read, nor written over. Paths
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -35,8 +36,8 @@ from ._spark import bounded, parts_for, scratch
 
 #: Bytes of Catalyst's size estimate a part.
 PART_BYTES = 24 << 20
-#: Pieces kept by a worker.
-_CACHE = 300_000
+#: Pieces kept by a worker, and characters of texts that are encoded whole at a time.
+_CACHE, _AT_ONCE = 100_000, 1 << 18
 #: Characters of a text that deal rows of one id.
 _DEALT = 32
 #: Blanks that stand beside white space or at a text's border.
@@ -57,6 +58,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end: int = 0, special_as_text: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and every further thread an arena of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,7 +75,14 @@ class Encoder:
         self.led: dict[str, bytes] = {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out, at = [], 0
+        while at < len(texts):
+            size, to = 0, at
+            while to < len(texts) and (to == at or size + len(texts[to]) <= _AT_ONCE):
+                size, to = size + len(texts[to]), to + 1
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at:to], add_special_tokens=False)]
+            at = to
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """Pieces behind a blank as they are, pieces behind a letter with \x01 in front. The latter are encoded behind a letter too, whose
