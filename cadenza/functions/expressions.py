@@ -50,15 +50,19 @@ def linear_trend(t: Column, k: Column, m: Column, delta: Column, changepoints: C
 
 
 def logistic_offsets(k: Column, m: Column, delta: Column, changepoints: Column) -> Column:
-    """The offset shifts that keep the logistic curve continuous at each changepoint."""
-    step = F.struct(k.cast("double").alias("k"), m.cast("double").alias("m"), F.array().cast("array<double>").alias("out"))
+    """How far the curve's offset moves at each changepoint so that the curve stays continuous.
+
+    Behind a changepoint the curve's argument is rate * t - level, where rate is k plus the changes so far and level is k m plus the changes times their
+    times; the offset is level / rate. Where a rate is 0 the offset stays.
+    """
+    begin = F.struct(k.cast("double").alias("rate"), (k * m).cast("double").alias("level"), m.cast("double").alias("at"), F.array().cast("array<double>").alias("out"))
 
     def move(acc: Column, x: Column) -> Column:
-        after = acc["k"] + x["d"]
-        gamma = (x["s"] - acc["m"]) * (F.lit(1.0) - F.try_divide(acc["k"], after))
-        return F.struct(after.alias("k"), (acc["m"] + gamma).alias("m"), F.concat(acc["out"], F.array(gamma)).alias("out"))
+        rate, level = acc["rate"] + x["d"], acc["level"] + x["d"] * x["s"]
+        at = F.when(rate == 0, acc["at"]).otherwise(F.try_divide(level, rate))
+        return F.struct(rate.alias("rate"), level.alias("level"), at.alias("at"), F.concat(acc["out"], F.array(at - acc["at"])).alias("out"))
 
-    return F.aggregate(F.zip_with(delta, changepoints, lambda d, s: F.struct(d.alias("d"), s.alias("s"))), step, move, lambda acc: acc["out"])
+    return F.aggregate(F.zip_with(delta, changepoints, lambda d, s: F.struct(d.alias("d"), s.alias("s"))), begin, move, lambda acc: acc["out"])
 
 
 def sigmoid(x: Column) -> Column:
@@ -67,10 +71,9 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
 
 
-def logistic_trend(t: Column, cap: Column, k: Column, m: Column, delta: Column, changepoints: Column, offsets: Column | None = None) -> Column:
-    offsets = logistic_offsets(k, m, delta, changepoints) if offsets is None else offsets
-    on = lambda v: F.aggregate(F.zip_with(v, changepoints, lambda d, s: F.when(t >= s, d).otherwise(0.0)), F.lit(0.0), lambda acc, x: acc + x)
-    return cap * sigmoid((k + on(delta)) * (t - (m + on(offsets))))
+def logistic_trend(t: Column, cap: Column, k: Column, m: Column, delta: Column, changepoints: Column) -> Column:
+    """Continuity makes the curve's argument piecewise linear in t, whatever the rates, also where one is 0."""
+    return cap * sigmoid(linear_trend(t, k, -k * m, delta, changepoints))
 
 
 def uniform(*parts: Column) -> Column:

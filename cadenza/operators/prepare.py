@@ -19,6 +19,14 @@ def by_series(*order: str) -> Window:
     return Window.partitionBy("series_id").orderBy(*order)
 
 
+def parts_for(df: DataFrame, each: int) -> int:
+    """Parts of about ``each`` bytes by Catalyst's estimate, and at least the session's shuffle partitions: for shuffles before costly work, which
+    must not be drawn together because their bytes are few."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 60 else min(1_000_000, max(least, -(-size // each)))
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     if not {"ds", "y"} & set(names) <= set(df.columns):
         raise ValueError('Dataframe must have columns "ds" and "y" with the dates and values respectively.')

@@ -11,7 +11,7 @@ otherwise each step linearises the mean and solves the same subproblem, damped u
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -105,10 +105,12 @@ class Fit:
     kkt: float
     iterations: int
     status: str
+    #: The objective after each round.
+    trace: list[float] = field(default_factory=list)
 
 
-def _fit(theta: np.ndarray, sigma: float, s: int, value: float, kkt: float, rounds: int, status: str) -> Fit:
-    return Fit(float(theta[0]), float(theta[1]), theta[2 : 2 + s], theta[2 + s :], sigma, -value, kkt, rounds, status)
+def _fit(theta: np.ndarray, sigma: float, s: int, value: float, kkt: float, rounds: int, status: str, trace: list[float]) -> Fit:
+    return Fit(float(theta[0]), float(theta[1]), theta[2 : 2 + s], theta[2 + s :], sigma, -value, kkt, rounds, status, trace)
 
 
 def fit_moments(mo: Moments, n_changepoints: int, scales: np.ndarray, tau: float, flat: bool = False, most: int = 200) -> Fit:
@@ -116,7 +118,7 @@ def fit_moments(mo: Moments, n_changepoints: int, scales: np.ndarray, tau: float
     d, l1 = priors({"tau": tau}, n_changepoints, scales)
     p = len(d)
     use = np.r_[1, 2 + n_changepoints : p] if flat else np.arange(p)
-    theta, sigma, rounds = np.zeros(p), C.SIGMA_INIT, 0
+    theta, sigma, rounds, trace = np.zeros(p), C.SIGMA_INIT, 0, []
     zz, zy = mo.zz[np.ix_(use, use)], mo.zy[use]
     for rounds in range(1, most + 1):
         new = signed_quadratic(zz / sigma**2 + np.diag(d[use]), -zy / sigma**2, l1[use], theta[use])
@@ -124,6 +126,7 @@ def fit_moments(mo: Moments, n_changepoints: int, scales: np.ndarray, tau: float
         after = best_sigma(mo.ssr(theta), mo.n)
         done = abs(after - sigma) <= 1e-13 * sigma
         sigma = after
+        trace.append(objective(theta, sigma, mo.ssr(theta), mo.n, d, l1))
         if done:
             break
     theta[use] = signed_quadratic(zz / sigma**2 + np.diag(d[use]), -zy / sigma**2, l1[use], theta[use])
@@ -131,7 +134,7 @@ def fit_moments(mo: Moments, n_changepoints: int, scales: np.ndarray, tau: float
     gradient = np.zeros(p)
     gradient[use] = (zz @ theta[use] - zy) / sigma**2
     kkt = kkt_residual(theta, sigma, gradient, ssr, mo.n, d, l1)
-    return _fit(theta, sigma, n_changepoints, objective(theta, sigma, ssr, mo.n, d, l1), kkt, rounds, "ok" if kkt < 1e-3 else "not converged")
+    return _fit(theta, sigma, n_changepoints, objective(theta, sigma, ssr, mo.n, d, l1), kkt, rounds, "ok" if kkt < 1e-3 else "not converged", trace)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -140,23 +143,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def logistic_parts(k: float, m: float, delta: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offset shifts and their derivatives by (k, m, delta). Where the rate after a changepoint is 0 the shift is 0."""
+    """How far the curve's offset moves at each changepoint, and the derivatives by (k, m, delta).
+
+    Continuity fixes the level k m + sum(delta s) of the argument behind every changepoint; the offset is the level by the rate there. Where a
+    rate is 0 the offset stays.
+    """
     n = len(s)
-    gamma, jac = np.zeros(n), np.zeros((n, 2 + n))
-    rate, d_rate = k, np.zeros(2 + n)
-    d_rate[0] = 1
-    at, d_at = m, np.zeros(2 + n)
-    d_at[1] = 1
-    for i in range(n):
-        after, d_after = rate + delta[i], d_rate.copy()
-        d_after[2 + i] += 1
-        if after != 0:
-            share = 1 - rate / after
-            d_share = -(d_rate / after - rate * d_after / after**2)
-            gamma[i] = (s[i] - at) * share
-            jac[i] = -d_at * share + (s[i] - at) * d_share
-        at, d_at, rate, d_rate = at + gamma[i], d_at + jac[i], after, d_after
-    return gamma, jac
+    upto = np.tri(n)
+    rate, level = k + np.cumsum(delta), k * m + np.cumsum(delta * s)
+    d_rate = np.column_stack([np.ones(n), np.zeros(n), upto])
+    d_level = np.column_stack([np.full(n, m), np.full(n, k), upto * s])
+    safe = np.where(rate == 0, 1.0, rate)[:, None]
+    at = np.append(m, level / safe[:, 0])
+    d_at = np.vstack([np.eye(1, 2 + n, 1), d_level / safe - level[:, None] * d_rate / safe**2])
+    last = np.maximum.accumulate(np.where(np.append(True, rate != 0), np.arange(n + 1), 0))
+    return np.diff(at[last]), np.diff(d_at[last], axis=0)
 
 
 class Rows:
@@ -178,14 +179,10 @@ class Rows:
         if self.growth == "linear":
             jac = np.column_stack([self.t, np.ones(len(self.t)), self.hinge])
             return jac @ theta[: 2 + n], jac
-        gamma, dg = logistic_parts(k, m, delta, self.s)
-        rate, offset = k + self.a @ delta, m + self.a @ gamma
-        z = sigmoid(rate * (self.t - offset))
+        # Continuity makes the argument of the curve piecewise linear, as the linear trend is.
+        z = sigmoid(k * (self.t - m) + self.hinge @ delta)
         slope = self.cap * z * (1 - z)
-        d_offset = self.a @ dg
-        d_offset[:, 1] += 1
-        d_rate = np.column_stack([np.ones(len(self.t)), np.zeros(len(self.t)), self.a])
-        return self.cap * z, slope[:, None] * (d_rate * (self.t - offset)[:, None] - rate[:, None] * d_offset)
+        return self.cap * z, slope[:, None] * np.column_stack([self.t - m, np.full(len(self.t), -k), self.hinge])
 
     def mean(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.s)
@@ -200,20 +197,100 @@ class Rows:
         return float(r @ r), -(jac.T @ r) / sigma**2
 
 
-def fit_rows(rows: Rows, start: np.ndarray, scales: np.ndarray, tau: float, most: int = 400) -> Fit:
-    """Damped proximal Gauss-Newton; every step keeps exact zeros. Starts from the best of the given point and the point without features."""
+#: Escapes from saddles tried, and how negative a curvature must be beside the largest one.
+ESCAPES, SADDLE = 5, 1e-6
+
+
+def _used(rows: Rows, p: int) -> np.ndarray:
+    return np.r_[1, 2 + len(rows.s) : p] if rows.growth == "flat" else np.arange(p)
+
+
+def fit_rows(rows: Rows, start: np.ndarray, scales: np.ndarray, tau: float, most: int = 400, sigma: float | None = None) -> Fit:
+    """Damped proximal Gauss-Newton from ``start`` (and a noise to begin with); every step keeps exact zeros. As Gauss-Newton can't see that a point it
+    stops at curves downwards, such a point is left along the curvature, to the lower side, and the descent goes on."""
+    d, l1 = priors({"tau": tau}, len(rows.s), scales)
+    best = _descend(rows, start, scales, tau, most, sigma)
+    trace = list(best.trace)
+    for _ in range(ESCAPES):
+        theta = np.concatenate([[best.k, best.m], best.delta, best.beta])
+        away = downwards(rows, theta, d, l1)
+        if away is None:
+            break
+        tries = [_descend(rows, point, scales, tau, most) for point in _lower(rows, theta, away, d, l1)]
+        lower = max(tries, key=lambda f: f.lp, default=best)
+        if lower.lp <= best.lp + 1e-9 * (1 + abs(best.lp)):
+            break
+        trace += lower.trace
+        best = lower
+    best.trace = trace
+    return best
+
+
+def _value(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> tuple[float, float]:
+    """The objective at the best noise, and that noise."""
+    r = rows.y - rows.mean(theta)[0]
+    ssr = float(r @ r)
+    if not np.isfinite(ssr):
+        return np.inf, 1.0
+    sigma = best_sigma(ssr, len(r))
+    return objective(theta, sigma, ssr, len(r), d, l1), sigma
+
+
+def _curvature(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Free entries (those not held at 0), eigenvalues and eigenvectors of the objective's second derivatives at its best noise, by central differences
+    of the gradient."""
+    use = _used(rows, len(theta))
+    free = use[(l1[use] == 0) | (theta[use] != 0)]
+
+    def slope(x: np.ndarray) -> np.ndarray:
+        ssr, g = rows.gradient(x, 1.0)
+        return (g / best_sigma(ssr, len(rows.y)) ** 2 + d * x)[free]
+
+    h = np.zeros((len(free), len(free)))
+    for k, at in enumerate(free):
+        step = np.zeros(len(theta))
+        step[at] = 1e-5 * max(1.0, abs(theta[at]))
+        h[k] = (slope(theta + step) - slope(theta - step)) / (2 * step[at])
+    return (free, *np.linalg.eigh((h + h.T) / 2)) if len(free) and np.isfinite(h).all() else None
+
+
+def least_curvature(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> float | None:
+    """The smallest curvature, by the largest in size."""
+    found = _curvature(rows, theta, d, l1)
+    return None if found is None else float(found[1][0] / np.abs(found[1]).max())
+
+
+def downwards(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> np.ndarray | None:
+    """The direction of the most negative curvature; None at a minimum."""
+    found = _curvature(rows, theta, d, l1)
+    if found is None or found[1][0] >= -SADDLE * np.abs(found[1]).max():
+        return None
+    out = np.zeros(len(theta))
+    out[found[0]] = found[2][:, 0]
+    return out
+
+
+def _lower(rows: Rows, theta: np.ndarray, away: np.ndarray, d: np.ndarray, l1: np.ndarray) -> list[np.ndarray]:
+    """On either side the lowest of a few points along a direction, if it is lower than ``theta``."""
+    here, out = _value(rows, theta, d, l1)[0], []
+    for side in (1.0, -1.0):
+        points = [theta + side * 4.0**-k * away for k in range(-1, 8)]
+        values = [_value(rows, x, d, l1)[0] for x in points]
+        if min(values) < here:
+            out.append(points[int(np.argmin(values))])
+    return out
+
+
+def _descend(rows: Rows, start: np.ndarray, scales: np.ndarray, tau: float, most: int, sigma: float | None = None) -> Fit:
     n, s = len(rows.y), len(rows.s)
     d, l1 = priors({"tau": tau}, s, scales)
-    theta = start.copy()
-    if rows.growth == "flat":
-        use = np.r_[1, 2 + s : len(d)]
-        theta[np.setdiff1d(np.arange(len(d)), use)] = 0.0
-    else:
-        use = np.arange(len(d))
+    use = _used(rows, len(d))
+    theta = np.zeros(len(d))
+    theta[use] = start[use]
     mu, jac = rows.mean(theta)
     r = rows.y - mu
-    sigma = best_sigma(float(r @ r), n)
-    value, damping, rounds, still = objective(theta, sigma, float(r @ r), n, d, l1), 1e-3, 0, 0
+    sigma = best_sigma(float(r @ r), n) if sigma is None else sigma
+    value, damping, rounds, still, trace = objective(theta, sigma, float(r @ r), n, d, l1), 1e-3, 0, 0, []
     for rounds in range(1, most + 1):
         h = jac.T @ jac / sigma**2
         g = -(jac.T @ r) / sigma**2
@@ -235,15 +312,15 @@ def fit_rows(rows: Rows, start: np.ndarray, scales: np.ndarray, tau: float, most
             break
         gain = value - value2
         theta, sigma, value, r, jac = new, sigma2, value2, r2, jac2
+        trace.append(value)
         damping = max(damping / 6, 1e-12)
-        still = still + 1 if gain <= 1e-11 * (1 + abs(value)) else 0
+        still = still + 1 if gain <= 1e-13 * (1 + abs(value)) else 0
         if still >= 3:
             break
     ssr, g = rows.gradient(theta, sigma)
-    if rows.growth == "flat":
-        g[np.setdiff1d(np.arange(len(d)), use)] = 0.0
+    g[np.setdiff1d(np.arange(len(d)), use)] = 0.0
     kkt = kkt_residual(theta, sigma, g, ssr, n, d, l1)
-    return _fit(theta, sigma, s, value, kkt, rounds, "ok" if kkt < 1e-1 else "not converged")
+    return _fit(theta, sigma, s, value, kkt, rounds, "ok" if kkt < 1e-3 * max(1.0, float(np.abs(jac.T @ rows.y).max()) / sigma**2 / n) else "not converged", trace)
 
 
 def smooth_hessian(jac: np.ndarray, sigma: float, d: np.ndarray) -> np.ndarray:
@@ -254,7 +331,18 @@ def curvature_spectrum(h: np.ndarray) -> np.ndarray:
     return np.linalg.eigvalsh(h)
 
 
-def quadratic_change(h: np.ndarray, reference: np.ndarray, point: np.ndarray) -> float:
+def quadratic_distance(h: np.ndarray, reference: np.ndarray, point: np.ndarray) -> float:
     """Half the squared distance of two parameter vectors in the posterior's own metric."""
     step = point - reference
     return float(step @ h @ step / 2)
+
+
+def quadratic_change(h: np.ndarray, reference: np.ndarray, point: np.ndarray, gradient: np.ndarray | None = None, l1: np.ndarray | None = None) -> float:
+    """How much larger the objective is at ``point`` than at ``reference``, to second order: the smooth part's gradient and curvature at the reference,
+    and the change of the absolute values, which is exact."""
+    out = quadratic_distance(h, reference, point)
+    if gradient is not None:
+        out += float(gradient @ (point - reference))
+    if l1 is not None:
+        out += float(l1 @ (np.abs(point) - np.abs(reference)))
+    return out

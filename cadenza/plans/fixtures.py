@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import prepare as P
+from ..operators.fit import with_fit_columns
 from ..spec import ModelSpec
 
 #: Fixed values of the literal model.
@@ -48,8 +49,9 @@ def literal_models(history: DataFrame, growth: str = "linear") -> DataFrame:
     k, m = (LOGISTIC_K, LOGISTIC_M) if growth == "logistic" else (K, M)
     stats = P.series_stats(P.clean_history(history))
     none = F.array().cast("array<double>")
-    return stats.select(
+    models = stats.select(
         "series_id", F.lit(growth).alias("growth"), "n", "start_us", "end_us", "y_scale", F.lit(False).alias("yearly"), F.lit(True).alias("weekly"), F.lit(False).alias("daily"),
         array(POINTS).alias("changepoints_t"), F.lit(k).alias("k"), F.lit(m).alias("m"), array(DELTA).alias("delta"), F.lit(SIGMA).alias("sigma_obs"), array(WEEKLY).alias("beta"),
-        none.alias("regressor_mu"), none.alias("regressor_std"), F.lit(0.0).alias("lp"), F.lit(0.0).alias("kkt"), F.lit(0).alias("iterations"), F.lit("literal").alias("status"),
+        none.alias("regressor_mu"), none.alias("regressor_std"), F.lit(0.0).alias("lp"), F.lit(0.0).alias("kkt"), F.lit(0).alias("iterations"), F.lit("literal").alias("status"), none.alias("trace"),
     )
+    return with_fit_columns(models)

@@ -116,8 +116,8 @@ class ModelSpec:
         scale = self.seasonality_prior_scale if prior_scale is None else float(prior_scale)
         if not scale > 0:
             raise ValueError("Prior scale must be > 0")
-        if not (fourier_order > 0 and period > 0):
-            raise ValueError("Fourier order and period must be > 0")
+        if not (fourier_order > 0 and 0 < period < float("inf")):
+            raise ValueError("Fourier order and period must be > 0, and the period finite")
         if (mode or self.mode) not in _MODES:
             raise ValueError('mode must be "additive" or "multiplicative"')
         if condition_name is not None and (condition_name in C.RESERVED_COLUMNS or _DELIMITER in condition_name):
@@ -137,14 +137,20 @@ class ModelSpec:
         return replace(self, regressors=(*(r for r in self.regressors if r.name != name), new))
 
     def add_holidays(self, holidays: Sequence[Holiday], prior_scale: float | None = None, mode: str | None = None) -> ModelSpec:
+        """Registers these holidays in place of any registered before. The prior scale is also the default of regressors added later."""
         for h in holidays:
             self.validate_name(h.name, "holiday")
-        return replace(self, holidays=(*self.holidays, *holidays), holidays_prior_scale=prior_scale or self.holidays_prior_scale, holidays_mode=mode or self.holidays_mode)
+        scale = self.holidays_prior_scale if prior_scale is None else float(prior_scale)
+        return replace(self, holidays=tuple(holidays), holidays_prior_scale=scale, holidays_mode=mode or self.mode)
 
     def add_country_holidays(self, country: str) -> ModelSpec:
-        """The calendar itself is a table given to the fit (country, ds, holiday); the package holds none."""
+        """The calendar itself is a table given to fit and forecast (country, ds, holiday); the package holds none. A second country replaces the first."""
         return replace(self, country={"TU": "TR"}.get(country, country))
 
+    @property
+    def has_holidays(self) -> bool:
+        return bool(self.holidays) or self.country is not None
+
     def built_in(self, name: str, auto: bool) -> Seasonality | None:
         """The built-in seasonality a series gets: ``auto`` tells whether its history supports it."""
         if any(s.name == name for s in self.seasonalities):
