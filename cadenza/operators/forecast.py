@@ -59,7 +59,7 @@ def joined(future: DataFrame, models: DataFrame, spec: ModelSpec, holidays: Data
     """
     future = with_predicted(future, models, spec, calendar, history)
     own = set(_MODEL_COLUMNS) | {"t", "us", "x"}
-    rows = future.select(*[c for c in future.columns if c not in own]).join(models.select("series_id", *_MODEL_COLUMNS), "series_id")
+    rows = future.select(*[c for c in future.columns if c not in own]).join(models.select("series_id", *_MODEL_COLUMNS, F.col("n").alias("_n_history")), "series_id")
     rows = rows.withColumn("ds", F.col("ds").cast("timestamp_ntz")).withColumn("us", micros(F.col("ds"))).withColumn("t", scaled_time(F.col("us")))
     logistic = spec.growth == "logistic"
     if logistic and "cap" not in future.columns:
