@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DAY, from_micros, micros, sign_test
+from ..sources.series import replace_rows
 from ..spec import ModelSpec
 from .fit import fit
 from .forecast import predict_point
@@ -138,7 +139,8 @@ def linear_fit(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 
 
 def showcase(facts: DataFrame, ours: str, theirs: str, usable: float = 0.10) -> DataFrame:
-    """The best, the middle and the worst series by relative RMSE advantage, among those whose worse sMAPE is usable."""
+    """The best, the middle and the worst series by relative RMSE advantage, among those whose worse sMAPE is usable. Two numbers a series are ranked
+    in one task."""
     wide = facts.where(F.col("metric").isin("rmse", "smape") & F.col("implementation").isin(ours, theirs)).groupBy("series").pivot("metric", ["rmse", "smape"]).agg(
         F.max(F.when(F.col("implementation") == ours, F.col("value"))).alias("a"), F.max(F.when(F.col("implementation") == theirs, F.col("value"))).alias("b")
     )
@@ -150,8 +152,34 @@ def showcase(facts: DataFrame, ours: str, theirs: str, usable: float = 0.10) ->
     return ranked.withColumn("pick", pick).where("pick is not null and n >= 3").select("pick", "series", "advantage", "rank")
 
 
+def resummarised(facts: DataFrame, ours: str, theirs: str, tier: int = 2) -> DataFrame:
+    """The facts with their paired summary (configuration summary) made again, nothing fitted: a row for each metric and number of ``paired_summary``."""
+    rows = paired_summary(paired_differences(facts.where(F.col("configuration") != "summary"), ours, theirs))
+    names = [c for c in rows.columns if c != "metric"]
+    long = rows.select("metric", *[F.col(c).cast("double").alias(c) for c in names]).unpivot("metric", names, "unit", "value")
+    new = long.select(F.lit(tier).alias("tier"), F.lit("paired").alias("series"), F.lit("summary").alias("configuration"), F.lit(ours).alias("implementation"), "metric", "value", "unit")
+    return replace_rows(facts, new, "summary")
+
+
+def gate_tier(a: DataFrame, b: DataFrame, design: float = 1e-9, posterior: float = 1e-6) -> DataFrame:
+    """Two implementations' models of the same series, one row each: the largest gaps of changepoints and of scales, the columns of either, the log
+    posteriors, and ok: the gaps below ``design``, as many columns, and a posterior of ``a`` no more than ``posterior`` (relative) below that of ``b``."""
+    pick = lambda df, e: df.select("series_id", *[F.col(c).alias(f"{c}_{e}") for c in ("changepoints_t", "y_scale", "regressor_mu", "regressor_std", "beta", "lp")])
+    both = pick(a, "a").join(pick(b, "b"), "series_id")
+
+    def widest(name: str) -> Column:
+        gaps = F.zip_with(f"{name}_a", f"{name}_b", lambda x, y: F.abs(x - y))
+        same = F.size(f"{name}_a") == F.size(f"{name}_b")
+        return F.when(same, F.coalesce(F.array_max(gaps), F.lit(0.0))).otherwise(float("inf"))
+
+    scale = F.greatest(F.abs(F.col("y_scale_a") - F.col("y_scale_b")), widest("regressor_mu"), widest("regressor_std"))
+    rows = both.select("series_id", widest("changepoints_t").alias("changepoints_gap"), scale.alias("scale_gap"), F.size("beta_a").cast("long").alias("columns_a"), F.size("beta_b").cast("long").alias("columns_b"), "lp_a", "lp_b")
+    ok = (F.col("changepoints_gap") < design) & (F.col("scale_gap") < design) & (F.col("columns_a") == F.col("columns_b")) & (F.col("lp_a") >= F.col("lp_b") - posterior * (1 + F.abs("lp_b")))
+    return rows.withColumn("ok", ok)
+
+
 def gate(a: DataFrame, b: DataFrame, key: list[str], *columns: str) -> DataFrame:
-    """Largest and mean absolute difference of columns of two results, e.g. of two kernels."""
+    """Largest and mean absolute difference of columns of two results, e.g. of two kernels' forecasts; divide them by y_scale first to compare series."""
     both = a.select(*key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(b.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns]), key)
     gap = lambda c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))
     return both.agg(*[f(gap(c)).alias(f"{n}_{c}") for c in columns for n, f in (("max", F.max), ("mean", F.avg))])

@@ -99,8 +99,8 @@ def _features(df: DataFrame, spec: ModelSpec, chunk: int | None, holidays: DataF
     """series_id, chunk, t, y_scaled, x (cap_scaled) and info, dealt and sorted by series and chunk. ``info``, the columns of the series and those of
     ``more``, stands on the rows of the first date, and on every row of a series that has several chunks."""
     clean, info = prepared(df, spec)
-    extra = [c for c in more.columns if c != "series_id"] if more is not None else []
-    info = info.join(more, "series_id") if more is not None else info
+    extra = [c for c in more.columns if c not in ("series_id", *_CARRIED)] if more is not None else []
+    info = info.drop(*[c for c in more.columns if c in _CARRIED]).join(more, "series_id") if more is not None else info
     cap = spec.growth == "logistic"
     plain = sorted({s.condition for s in spec.seasonalities if s.condition} | {r.name for r in spec.regressors})
     rows = clean.select("series_id", "ds", "us", "y", "floor", *([F.col("cap").cast("double").alias("cap")] if cap else []), *plain).join(info, "series_id")
@@ -425,20 +425,21 @@ def nested_models(models: DataFrame, name: str) -> DataFrame:
 
 
 def certificate(df: DataFrame, models: DataFrame, spec: ModelSpec, holidays: DataFrame | None = None, calendar: DataFrame | None = None) -> DataFrame:
-    """Recomputes the optimality residual from the data: series_id, n_params, n_zero_rates, kkt, ssr, least_curvature.
+    """Recomputes the optimality residual from the data: series_id, n_params, n_zero_rates, kkt, ssr, objective, least_curvature. The models' own
+    changepoints count, not those that the specification would place.
 
     For models that are linear in their parameters from the moments, else from the rows; least_curvature (null for the former, which are convex) is below 0 by
     more than rounding only at a saddle.
     """
-    more = models.select("series_id", "k", "m", "delta", "sigma_obs", "beta")
+    more = models.select("series_id", "k", "m", "delta", "sigma_obs", "beta", "changepoints_t")
     names = train_holiday_columns(df, spec, calendar)
-    schema = "series_id string, n_params long, n_zero_rates long, kkt double, ssr double, least_curvature double"
+    schema = "series_id string, n_params long, n_zero_rates long, kkt double, ssr double, objective double, least_curvature double"
 
     def row(info: dict, theta: np.ndarray, ssr: float, gradient: np.ndarray, n: int, d: np.ndarray, l1: np.ndarray, curvature: float | None) -> dict:
         if spec.growth == "flat":
             gradient[[0, *range(2, 2 + len(info["delta"]))]] = 0.0
         residual = S.kkt_residual(theta, info["sigma_obs"], gradient, ssr, n, d, l1)
-        return {"series_id": info["series_id"], "n_params": len(theta) + 1, "n_zero_rates": sum(x == 0 for x in info["delta"]), "kkt": residual, "ssr": ssr, "least_curvature": curvature}
+        return {"series_id": info["series_id"], "n_params": len(theta) + 1, "n_zero_rates": sum(x == 0 for x in info["delta"]), "kkt": residual, "ssr": ssr, "objective": S.objective(theta, info["sigma_obs"], ssr, n, d, l1), "least_curvature": curvature}
 
     def parts(info: dict, scales: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         theta = np.concatenate([[info["k"], info["m"]], info["delta"], info["beta"]])

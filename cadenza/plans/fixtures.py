@@ -40,7 +40,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def literal_spec(**changes: object) -> ModelSpec:
     from dataclasses import replace
 
-    return replace(ModelSpec(yearly=False, weekly=True, daily=False, uncertainty_samples=20), **changes)
+    return replace(ModelSpec(yearly=False, weekly=True, daily=False), **changes)
 
 
 def literal_models(history: DataFrame, growth: str = "linear") -> DataFrame:

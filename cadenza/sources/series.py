@@ -38,6 +38,42 @@ def check_digest(members: DataFrame, expected: dict[str, str]) -> None:
         raise ValueError(f"the member list differs from its digest: {sorted(k for k in found.keys() | expected.keys() if found.get(k) != expected.get(k))}")
 
 
+def manifest_digest(members: DataFrame) -> DataFrame:
+    """n and digest of a whole member list (frequency, series_id): SHA-256 of the sorted lines frequency:id. A member list, not a corpus of rows: it makes
+    one row."""
+    lines = F.sort_array(F.collect_list(F.struct(F.col("frequency").cast("string").alias("frequency"), F.col("series_id").cast("string").alias("series_id"))))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x["frequency"], F.lit(":"), x["series_id"])), "\n")
+    return members.agg(F.count("*").alias("n"), F.sha2(text.cast("binary"), 256).alias("digest"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """frequency and series_id of a JSON manifest ({"digest": ..., "series": {frequency: [ids]}}); raises if its members don't have its digest."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "digest string, series map<string,array<string>>").alias("x"))
+    members = raw.select(F.explode("x.series").alias("frequency", "ids")).select("frequency", F.explode("ids").alias("series_id"))
+    want, found = raw.select("x.digest").first()[0], manifest_digest(members).first().digest
+    if want != found:
+        raise ValueError(f"the manifest has been edited: its digest says {str(want)[:12]}, its contents hash to {found[:12]}")
+    return members
+
+
+def write_manifest(members: DataFrame, path: str) -> None:
+    """The JSON manifest of a member list, as one text file in a folder."""
+    lists = members.groupBy("frequency").agg(F.sort_array(F.collect_list(F.col("series_id").cast("string"))).alias("ids"))
+    series = lists.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("frequency", "ids")))).alias("series"))
+    rows = series.crossJoin(F.broadcast(manifest_digest(members).select("digest")))  # one row by one row
+    rows.select(F.to_json(F.struct("digest", "series")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def exclusions(series: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """stage, rule, n_excluded, n_left: how many rows each rule, in their order, leaves of those that the rules before it left. A null verdict excludes."""
+    kept, cols = F.lit(True), []
+    for name, rule in rules.items():
+        now = kept & F.coalesce(rule, F.lit(False))
+        cols.append(F.struct(F.lit(len(cols)).cast("long").alias("stage"), F.lit(name).alias("rule"), F.count_if(kept & ~now).alias("n_excluded"), F.count_if(now).alias("n_left")))
+        kept = now
+    return series.agg(*[c.alias(f"s{k}") for k, c in enumerate(cols)]).select(F.explode(F.array(*[F.col(f"s{k}") for k in range(len(cols))])).alias("x")).select("x.*")
+
+
 def census(series: DataFrame, members: DataFrame) -> DataFrame:
     return series.join(members.select("series_id").distinct(), "series_id", "left_semi")
 
@@ -81,6 +117,11 @@ def replace_rows(facts: DataFrame, new: DataFrame, configuration: str) -> DataFr
     return facts.where(F.col("configuration") != configuration).unionByName(new)
 
 
+def write_checkpoint(facts: DataFrame, path: str) -> None:
+    """Appends the facts of a part of a run; what is committed there need not be measured again."""
+    facts.select(*[c.split(" ")[0] for c in FACTS.split(", ")]).write.mode("append").parquet(path)
+
+
 def checkpointed(spark: SparkSession, path: str) -> DataFrame | None:
     """Series already measured by an interrupted run, for an anti-join."""
     from pyspark.errors import AnalysisException
