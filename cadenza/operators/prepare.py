@@ -20,11 +20,12 @@ def by_series(*order: str) -> Window:
 
 
 def parts_for(df: DataFrame, each: int) -> int:
-    """Parts of about ``each`` bytes by Catalyst's estimate, and at least the session's shuffle partitions: for shuffles before costly work, which
-    must not be drawn together because their bytes are few."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Parts of about ``each`` bytes of what ``df`` reads, and at least the session's shuffle partitions: for shuffles before costly work, which must not be
+    drawn together because their bytes are few. Catalyst's estimate of a join is the product of its sides, hence only the leaves count."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return least if size >= 1 << 60 else min(1_000_000, max(least, -(-size // each)))
+    return min(1_000_000, max(least, -(-sum(x for x in sizes if x < 1 << 60) // each)))
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
