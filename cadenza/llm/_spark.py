@@ -42,8 +42,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: the files' bytes for a plain scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of what is read: the files' bytes. Of a join it would be the product of the sides, hence only the leaves count; a leaf
+    without an estimate makes the whole one unknown."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
 def parts_for(df: DataFrame, each: int, least: int = 1, most: int = 1_000_000) -> int:

@@ -117,7 +117,7 @@ def test_special_tokens_as_the_library_has_them(spark, special_as_text):
 def test_rows_of_one_id_fill_several_parts(spark):
     folder = tokenstore.scratch(spark, "tokens")
     rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.lit(" and more")).alias("text"))
-    tokenstore.write_store(rows, folder, queries.tokenizer_path(), part_bytes=20_000)
+    tokenstore.write_store(rows, folder, queries.tokenizer_path(), part_bytes=4_000)
     parts = spark.read.parquet(f"{folder}/manifest").orderBy("part").collect()
     assert len(parts) > 3 and max(p.n_docs for p in parts) < 2000
     back = [x.tobytes() for p in parts for x in tokenstore.decode(folder, p.file, p.offsets, p.base, p.width)]
