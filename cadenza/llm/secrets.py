@@ -41,7 +41,7 @@ class Scan:
 
     least: int = 16
     total: float = 25.0
-    mean: float = 1.2
+    mean: float = 2.5
     sample_docs: int = 2000
     sample_longest: int = 20_000
     sample_random: int = 3000
@@ -69,34 +69,39 @@ def _chars(token: Column) -> Column:
 
 
 def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
-    """Log-likelihood ratios of all character pairs from (token, secret): log P(next | previous, random) - log P(next | previous, ordinary).
+    """Log-likelihood ratios of all character pairs from (token, secret): log P(next | previous, random) - log P(next | previous, ordinary). What follows a
+    character is mixed with the single characters' shares, so that a pair never seen counts by how rare its second character is.
 
     Null tokens and labels are ignored; without samples every ratio is 0.
     """
     pairs = samples.where("token is not null and secret is not null").select("secret", F.explode(_pairs(_chars(F.col("token")))).alias("pair"))
     counts = {(bool(r.secret), r.pair): r.n for r in pairs.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()}
-    out = []
-    for a in range(CLASSES):
-        rows = {y: [counts.get((y, a * CLASSES + b), 0) + smooth for b in range(CLASSES)] for y in (True, False)}
-        sums = {y: sum(v) for y, v in rows.items()}
-        out += [math.log(rows[True][b] / sums[True]) - math.log(rows[False][b] / sums[False]) for b in range(CLASSES)]
-    return out
+    follow: dict[bool, list[list[float]]] = {}
+    for y in (True, False):
+        table = [[counts.get((y, a * CLASSES + b), 0) for b in range(CLASSES)] for a in range(CLASSES)]
+        alone = [sum(row[b] for row in table) + smooth for b in range(CLASSES)]
+        alone = [n / sum(alone) for n in alone]
+        weight = smooth * CLASSES  # of the single characters' shares among what follows a character, so that a rare one says as little as it should
+        follow[y] = [[(row[b] + weight * alone[b]) / (sum(row) + weight) for b in range(CLASSES)] for row in table]
+    return [math.log(follow[True][a][b]) - math.log(follow[False][a][b]) for a in range(CLASSES) for b in range(CLASSES)]
 
 
 def random_strings(spark, n: int) -> DataFrame:
-    """Labelled random strings made from digests: base64 and hex in turn, so that both alphabets are known."""
+    """Labelled random strings made from digests: hex, base64 and base64's capitals in turn, so that these alphabets are known."""
     digest = F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256))
-    token = F.when(F.col("id") % 3 > 0, F.regexp_replace(F.base64(digest), "=+$", "")).otherwise(F.lower(F.hex(digest)))
+    plain = F.regexp_replace(F.base64(digest), "=+$", "")
+    token = F.when(F.col("id") % 3 == 1, plain).when(F.col("id") % 3 == 2, F.upper(plain)).otherwise(F.lower(F.hex(digest)))
     return spark.range(n).select(token.alias("token"), F.lit(True).alias("secret"))
 
 
 def ordinary(docs: DataFrame, scan: Scan) -> DataFrame:
-    """Labelled ordinary identifiers: the words of a bounded sample of documents without a base match."""
-    some = docs.where("text is not null").where(~F.col("text").rlike(ASSIGN) & ~F.col("text").rlike(ACCESS) & ~F.col("text").rlike(HEX))
+    """Labelled ordinary identifiers: the words of a bounded sample of documents without a base match, those too short to be candidates, as random
+    strings among them would pass for ordinary."""
     every = max(1, docs.count() // scan.sample_docs)
-    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).where(F.length("text") <= scan.sample_longest).select("text")
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).where("text is not null").where(F.length("text") <= scan.sample_longest)  # the sample first: patterns cost most
+    some = some.where(~F.col("text").rlike(ASSIGN) & ~F.col("text").rlike(ACCESS) & ~F.col("text").rlike(HEX)).select("text")
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("token"))
-    return words.select("token", F.lit(False).alias("secret"))
+    return words.where(F.length("token") < scan.least).select("token", F.lit(False).alias("secret"))
 
 
 _INTS = "array<int>"
