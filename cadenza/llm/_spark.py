@@ -56,6 +56,15 @@ def parts_for(df: DataFrame, each: int, least: int = 1, most: int = 1_000_000) -
     return min(most, max(least, n))
 
 
+def dealt(docs: DataFrame, each: int = 32 << 20) -> DataFrame:
+    """A table in fewer files than there are cores, and of at most ``each`` bytes a core, dealt over the cores: one file may be one row group, which one
+    task would read and work on alone. Larger tables are left as they lie; rows are the same either way."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if input_bytes(docs) > each * cores or len(docs.inputFiles()) >= cores:
+        return docs
+    return docs.repartition(cores)
+
+
 def shuffle_parts(df: DataFrame, each: int) -> int:
     """Parts of about ``each`` bytes, and at least the session's number of shuffle partitions."""
     return parts_for(df, each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

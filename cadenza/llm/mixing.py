@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def _rake_cells(cells: DataFrame, mix: Mix) -> DataFrame:
         codes.append(code)
         wanted.append(np.array([want[n] for n in names]))
     p = rake(np.stack(codes, 1), tokens, wanted, mix)
-    return cells.sparkSession.createDataFrame([(*(r[a] for a in AXES), float(x)) for r, x in zip(rows, p, strict=True)], "source string, lang string, topic string, probability double")
+    return cells.sparkSession.createDataFrame(pa.table({a: pa.array([r[a] for r in rows], pa.string()) for a in AXES} | {"probability": pa.array(p, pa.float64())}))
 
 
 def _wanted(sums: DataFrame, axis: str, mix: Mix) -> DataFrame:

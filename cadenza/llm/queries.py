@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import dealt, table
 from .chat import TURNS, canonical_turns, digests, format_turns
 from .decontam import leaks
 from .mixing import mixed
@@ -26,16 +26,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), NearDup(words=3, threshold=(85, 100)))
+    return near_duplicates(dealt(table(spark, sf_dir, "documents")), NearDup(words=3, threshold=(85, 100)))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return flag(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = ledger(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = ~passes(BASE)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes()).alias("kept"), "failures")
 
@@ -57,7 +57,8 @@ def op3_consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents"))
+    return secrets(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = canonical_turns(table(spark, sf_dir, "conversations"))

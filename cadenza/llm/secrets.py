@@ -74,8 +74,9 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
 
     Null tokens and labels are ignored; without samples every ratio is 0.
     """
-    pairs = samples.where("token is not null and secret is not null").select("secret", F.explode(_pairs(_chars(F.col("token")))).alias("pair"))
-    counts = {(bool(r.secret), r.pair): r.n for r in pairs.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect()}
+    words = samples.where("token is not null and secret is not null").groupBy("secret", "token").agg(F.count("*").alias("times"))  # a word's pairs are taken once
+    pairs = words.select("secret", "times", F.explode(_pairs(_chars(F.col("token")))).alias("pair"))
+    counts = {(bool(r.secret), r.pair): r.n for r in pairs.groupBy("secret", "pair").agg(F.sum("times").alias("n")).collect()}
     follow: dict[bool, list[list[float]]] = {}
     for y in (True, False):
         table = [[counts.get((y, a * CLASSES + b), 0) for b in range(CLASSES)] for a in range(CLASSES)]
@@ -157,8 +158,8 @@ def scan_secrets(docs: DataFrame, ratios: list[float], scan: Scan = Scan()) -> D
     rows = locate(docs, text, ASSIGN, assign, 2)
     rows = rows.withColumn(assign, F.filter(assign, lambda x: F.length(x["v"]) >= LEAST_VALUE))
     rows = locate(locate(locate(rows, text, ACCESS, access), text, HEX, hex_), text, scan.candidate, random)
-    matrix = "array(" + ",".join(f"{x:.6f}D" for x in ratios) + ")"
-    score = lambda token: F.aggregate(_pairs(_chars(token)), F.lit(0.0), lambda acc, p: acc + F.get(F.expr(matrix), p))
+    matrix = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")  # one literal, folded once
+    score = lambda token: F.aggregate(_pairs(_chars(token)), F.lit(0.0), lambda acc, p: acc + F.get(matrix, p))
     limit = lambda token: F.greatest(F.lit(scan.total), F.lit(scan.mean) * (F.length(token) - 1))
     rows = rows.withColumn(random, F.filter(random, lambda x: score(x["v"]) >= limit(x["v"])))
     kind = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].cast("long").alias("start"), F.lit(k).alias("kind"), x["e"].cast("long").alias("end")))

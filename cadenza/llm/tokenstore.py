@@ -175,7 +175,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part
     ``special_as_text`` the ids of an ordinary text."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_parts = parts_for(docs, part_bytes, 2, 50_000)
+    n_parts = parts_for(docs, part_bytes, max(2, spark.sparkContext.defaultParallelism), 50_000)
     rows = rows.repartitionByRange(n_parts, "doc_id", F.substring("text", 1, _DEALT)).sortWithinPartitions("doc_id", "text")
     files, root = _files(folder)
     files.create_dir(root, recursive=True)

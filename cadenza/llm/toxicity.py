@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, op: ToxicityFit = ToxicityFit()) -
         return fit([], [], op)
     def of(ids: list, value: Column) -> DataFrame:
         """One value an id: rows that repeat an id are to repeat its text."""
-        picked = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
+        picked = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array([r.doc_id for r in ids], pa.int64()), "y": pa.array([r.y for r in ids], pa.int32())}))
         own = docs.where("text is not null").where(F.length("text") <= op.longest).select(F.col("doc_id").cast("long").alias("doc_id"), value.alias("value"))
         return own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("value").alias("value"))
 
