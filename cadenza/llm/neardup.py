@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import bounded, spread, stored
+from ._spark import bounded, shuffle_parts, spread, stored
 from .components import components
 
 BLOCK = 256
+PART_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -217,8 +218,7 @@ _KEYS = ["bucket", "p", "t"]
 
 
 def _blocks(rows: DataFrame, *order: str) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS, *order)
+    return rows.repartition(shuffle_parts(rows, PART_BYTES), *_KEYS).sortWithinPartitions(*_KEYS, *order)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
