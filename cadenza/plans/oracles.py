@@ -285,4 +285,16 @@ UNION ALL SELECT 1, 'span', count(*) FILTER (a AND NOT b), count(*) FILTER (a AN
 tail AS (SELECT metric, least(1.0, 2 * sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2)))) AS p_value FROM s, range(0, 1000) g(i) WHERE i <= least(wins, losses) GROUP BY 1)
 SELECT 'paired' AS series, metric, round(value, 6) AS value, unit FROM (SELECT metric, unnest(['n', 'median', 'iqr_low', 'iqr_high', 'wins', 'losses', 'ties', 'p_value']) AS unit, unnest([n, median, iqr_low, iqr_high, wins, losses, ties, p_value]) AS value FROM s JOIN tail USING (metric))""",
     "manifest": "SELECT count(*) AS n, sha256(string_agg(c_mktsegment || ':' || c_name, chr(10) ORDER BY c_mktsegment, c_name)) AS digest FROM customer",
+    "csv_scan": _with(_HIST) + f"SELECT series_id, {_DAY}, round(y, 6) AS y FROM hist",
+    "facts_files": "WITH " + _FACTS + " SELECT series, implementation, metric, round(value, 6) AS value, '1' AS unit FROM facts",
+    "changepoints_none": _with(_HIST) + "SELECT DISTINCT series_id, 0::BIGINT AS position, 0.0::DOUBLE AS t FROM hist",
+    "logistic_sampler": _with(_HIST, _STATS, _future(30, False)) + f"SELECT series_id, {_DAY}, round({_logistic()}, 6) AS trend, true AS ordered, false AS vectorized FROM f",
+    "built_in_seasonalities": """SELECT name, asked, supported, CASE asked WHEN 'true' THEN usual WHEN 'false' THEN 0 WHEN '7' THEN 7 ELSE CASE WHEN supported THEN usual ELSE 0 END END::BIGINT AS fourier_order
+  FROM (VALUES ('yearly', 10), ('weekly', 3), ('daily', 4)) n(name, usual), (VALUES ('auto'), ('true'), ('false'), ('7')) a(asked), (VALUES (true), (false)) s(supported)""",
+    "rejections": """SELECT * FROM (VALUES ('growth', 'Parameter "growth" should be "linear", "logistic" or "flat".'), ('range', 'Parameter "changepoint_range" must be in [0, 1]'), ('mode', 'mode must be "additive" or "multiplicative"'),
+  ('prior', 'Prior scale must be > 0'), ('sampling', 'mcmc_samples=10 is not supported'), ('reserved', 'Name ''trend'' is reserved.'), ('delimiter', 'Name cannot contain "_delim_"'),
+  ('taken', 'Name ''monthly'' already used for a seasonality.'), ('order', 'Fourier order and period must be > 0, and the period finite'),
+  ('columns', 'Dataframe must have columns "ds" and "y" with the dates and values respectively.'), ('time zone', 'Column ds has timezone specified, which is not supported. Remove timezone.'),
+  ('regressor', 'Regressor ''none'' missing from dataframe'), ('own weekly', 'ok'), ('absmax', 'ok')) v("case", message)""",
 }
+ORACLES["cv_resumed"] = f"SELECT * FROM ({ORACLES['cv_closed_form']}) WHERE series_id <> 'R'"

@@ -476,6 +476,83 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.manifest_digest(D.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("frequency"), F.col("c_name").alias("series_id")))
 
 
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history written as CSV and scanned back."""
+    path = D.scratch(spark, "history")
+    D.daily(spark, sf_dir).select("series_id", "ds", "y").write.csv(path, header=True)
+    return S.read_csv(spark, path, schema="series_id string, ds timestamp_ntz, y double").select("series_id", day().alias("day"), r("y").alias("y"))
+
+
+def facts_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written to the results files and read back."""
+    path = D.scratch(spark, "results")
+    S.write_facts(_facts(spark, sf_dir).select(F.lit(2).alias("tier"), "series", F.lit("default").alias("configuration"), "implementation", "metric", "value", F.lit("1").alias("unit")), path)
+    return S.read_facts(spark, path).select("series", "implementation", "metric", r("value").alias("value"), "unit")
+
+
+def cv_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an interrupted evaluation has left to do: the checkpoint already holds the series of returned items."""
+    history, path = D.daily(spark, sf_dir).select("series_id", "ds", "y"), D.scratch(spark, "checkpoint")
+    S.write_checkpoint(E.measurements(history.where("series_id = 'R'").groupBy("series_id").agg(F.avg("y").alias("mae")), "ours"), path)
+    rows = E.cross_validation(history, _FLAT, *E.HORIZONS["Daily"], done=S.checkpointed(spark, path))
+    return E.accuracy(rows, "series_id", "cutoff").select("series_id", day("cutoff").alias("cutoff"), *[r(c, 4).alias(c) for c in ("mae", "rmse", "mape", "smape")])
+
+
+def changepoints_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model without changepoints has one dummy at the start."""
+    points = P.changepoints(*_scaled(spark, sf_dir), ModelSpec(n_changepoints=0))
+    return points.select("series_id", F.posexplode("changepoints_t").alias("position", "t")).select("series_id", F.col("position").cast("long").alias("position"), r("t").alias("t"))
+
+
+def logistic_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic forecast asked for the approximate sampler takes the exact one."""
+    history, future = _future(spark, sf_dir)
+    top = history.groupBy("series_id").agg((F.max("y") * 1.25).alias("cap"))
+    rows = U.predict(future.join(top, "series_id"), D.literal_models(history, "logistic"), D.literal_spec(growth="logistic"), vectorized=True)
+    return rows.select("series_id", day().alias("day"), r("trend").alias("trend"), (F.col("trend_lower") <= F.col("trend_upper")).alias("ordered"), "vectorized")
+
+
+def built_in_seasonalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order that each way of asking for a built-in seasonality gives; 0 where there is none."""
+    rows = []
+    for name in ("yearly", "weekly", "daily"):
+        for asked in ("auto", True, False, 7):
+            for auto in (False, True):
+                found = ModelSpec(**{name: asked}).built_in(name, auto)
+                rows.append((name, str(asked).lower(), auto, found.order if found else 0))
+    return spark.createDataFrame(rows, "name string, asked string, supported boolean, fourier_order long")
+
+
+def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks say of specifications and frames that can't be used, and of some that can."""
+    rows, spec = D.daily(spark, sf_dir), ModelSpec()
+    cases = {
+        "growth": lambda: ModelSpec(growth="cubic"),
+        "range": lambda: ModelSpec(changepoint_range=1.5),
+        "mode": lambda: spec.add_seasonality("monthly", 30.5, 3, mode="other"),
+        "prior": lambda: spec.add_regressor("disc", 0.0),
+        "sampling": lambda: ModelSpec(options={"mcmc_samples": 10}),
+        "reserved": lambda: spec.add_seasonality("trend", 30.5, 3),
+        "delimiter": lambda: spec.add_regressor("a_delim_b"),
+        "taken": lambda: spec.add_seasonality("monthly", 30.5, 3).add_regressor("monthly"),
+        "order": lambda: spec.add_seasonality("monthly", 30.5, 0),
+        "columns": lambda: P.clean_history(rows.drop("y")),
+        "time zone": lambda: P.clean_history(rows.withColumn("ds", F.col("ds").cast("timestamp"))),
+        "regressor": lambda: X.regressor_stats(rows, spec.add_regressor("none").regressors),
+        "own weekly": lambda: spec.add_seasonality("weekly", 7, 2),
+        "absmax": lambda: ModelSpec(options={"scaling": "absmax"}),
+    }
+
+    def said(case) -> str:
+        try:
+            case()
+        except (ValueError, NotImplementedError) as e:
+            return str(e)
+        return "ok"
+
+    return spark.createDataFrame([(name, said(case)) for name, case in cases.items()], "case string, message string")
+
+
 def fit_many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A default model for each supplier's weekly quantity."""
     rows = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("ds"))
@@ -520,6 +597,6 @@ NAMES = (
     "cv_metrics cross_validation paired_summary stratified_summary holm scaling_slope memory_fit showcase_selection sparsity measurements agreement_gate unpivot_series corpus_digest corpus_profile "
     "corpus_drift census stream_scoring flagship sample_series seasonality_warnings tau_path recovery fit_many_series "
     "fit_closed_form fit_standardized fit_country_holidays fit_nested_regressor cv_closed_form certificate_literal trend_logistic_floor predict_from_json component_membership gate_kernels "
-    "corpus_exclusions resummarise manifest"
+    "corpus_exclusions resummarise manifest csv_scan facts_files cv_resumed changepoints_none logistic_sampler built_in_seasonalities rejections"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
