@@ -298,3 +298,6 @@ SELECT 'paired' AS series, metric, round(value, 6) AS value, unit FROM (SELECT m
   ('regressor', 'Regressor ''none'' missing from dataframe'), ('own weekly', 'ok'), ('absmax', 'ok')) v("case", message)""",
 }
 ORACLES["cv_resumed"] = f"SELECT * FROM ({ORACLES['cv_closed_form']}) WHERE series_id <> 'R'"
+ORACLES["holidays_only_ahead"] = ORACLES["fit_country_holidays"].replace("range(1, 31)", "range(1, 401)")
+ORACLES["holidays_replaced"] = """SELECT (row_number() OVER (ORDER BY kind, name) - 1)::BIGINT AS position, name, 4.0::DOUBLE AS prior_scale, mode FROM (VALUES ('h', 'new_year_delim_+0', 'multiplicative'),
+  ('h', 'new_year_delim_+1', 'multiplicative'), ('h', 'summer_delim_+0', 'multiplicative'), ('h', 'summer_delim_+1', 'multiplicative'), ('h', 'summer_delim_-1', 'multiplicative'), ('r', 'disc', 'additive')) v(kind, name, mode)"""

@@ -553,6 +553,23 @@ def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, said(case)) for name, case in cases.items()], "case string, message string")
 
 
+def holidays_only_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A country's holiday that falls on no year of the history has no column in the fit, hence no effect on the forecast."""
+    history, spec = D.daily(spark, sf_dir), _FLAT.add_country_holidays("AA")
+    later = history.groupBy().agg(F.date_trunc("year", F.add_months(F.max("ds"), 12)).cast("timestamp_ntz").alias("ds")).select(F.lit("AA").alias("country"), "ds", F.lit("later").alias("holiday"))
+    calendar = _firsts(spark, sf_dir).unionByName(later)
+    models = FIT.fit(history, spec, calendar=calendar)
+    rows = FC.predict_point(FC.future_frame(history, 400), models, spec, calendar=calendar)
+    return rows.select("series_id", day().alias("day"), r("yhat", 4).alias("yhat"))
+
+
+def holidays_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holidays registered anew stand in place of the earlier ones; their prior scale is the default of later regressors."""
+    spec = ModelSpec().add_holidays([Holiday("old", datetime(1998, 1, 1), 0, 0)], prior_scale=2.0).add_holidays([*HOLIDAYS], prior_scale=4.0, mode="multiplicative").add_regressor("disc")
+    cols = X.design_columns(spec, spec.seasonalities_for(False, False, False))
+    return spark.createDataFrame([(k, c.name, float(c.prior_scale), c.mode) for k, c in enumerate(cols)], "position long, name string, prior_scale double, mode string")
+
+
 def fit_many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A default model for each supplier's weekly quantity."""
     rows = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("ds"))
@@ -597,6 +614,6 @@ NAMES = (
     "cv_metrics cross_validation paired_summary stratified_summary holm scaling_slope memory_fit showcase_selection sparsity measurements agreement_gate unpivot_series corpus_digest corpus_profile "
     "corpus_drift census stream_scoring flagship sample_series seasonality_warnings tau_path recovery fit_many_series "
     "fit_closed_form fit_standardized fit_country_holidays fit_nested_regressor cv_closed_form certificate_literal trend_logistic_floor predict_from_json component_membership gate_kernels "
-    "corpus_exclusions resummarise manifest csv_scan facts_files cv_resumed changepoints_none logistic_sampler built_in_seasonalities rejections"
+    "corpus_exclusions resummarise manifest csv_scan facts_files cv_resumed changepoints_none logistic_sampler built_in_seasonalities rejections holidays_only_ahead holidays_replaced"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
