@@ -225,7 +225,9 @@ tail AS (SELECT metric, sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgam
 SELECT metric, n, round(median, 6) AS median, round(iqr_low, 6) AS iqr_low, round(iqr_high, 6) AS iqr_high, wins, losses, ties, CASE WHEN wins + losses >= 6 THEN round(least(1.0, 2 * p), 6) END AS p_value FROM s JOIN tail USING (metric)""",
     "stratified_summary": "WITH "
     + _FACTS
-    + f" SELECT metric, coalesce(stratum, 'all') AS stratum, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS median, {_COUNTS} FROM (SELECT *, substr(series, 1, 1) AS stratum FROM known) GROUP BY GROUPING SETS ((metric, stratum), (metric))",
+    + f""", s AS (SELECT metric, coalesce(stratum, 'all') AS stratum, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS median, {_COUNTS} FROM (SELECT *, substr(series, 1, 1) AS stratum FROM known) GROUP BY GROUPING SETS ((metric, stratum), (metric))),
+tail AS (SELECT metric, stratum, sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) AS p FROM s, range(0, 1000) g(i) WHERE i <= least(wins, losses) GROUP BY 1, 2)
+SELECT s.*, CASE WHEN wins + losses >= 6 THEN round(least(1.0, 2 * p), 6) END AS p_value FROM s JOIN tail USING (metric, stratum)""",
     "holm": f"""WITH t AS (SELECT p_brand AS family, p_partkey AS test, CASE WHEN p_size % 9 > 0 THEN {_uniform("'p'", "p_partkey")} / 10 END AS p FROM part),
 q AS (SELECT *, p * (count(p) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST) + 1) AS raw FROM t)
 SELECT family, test, round(p, 6) AS p_value, CASE WHEN p IS NOT NULL THEN round(least(1.0, max(raw) OVER (PARTITION BY family ORDER BY p NULLS LAST ROWS UNBOUNDED PRECEDING)), 6) END AS adjusted FROM q""",

@@ -284,7 +284,7 @@ def paired_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stratified_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.stratified_summary(E.paired_differences(_facts(spark, sf_dir), "ours", "theirs"), F.substring("series", 1, 1))
-    return rows.select("metric", F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", r("median").alias("median"), "wins", "losses")
+    return rows.select("metric", F.coalesce("stratum", F.lit("all")).alias("stratum"), "n", r("median").alias("median"), "wins", "losses", r("p_value").alias("p_value"))
 
 
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
