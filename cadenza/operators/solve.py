@@ -223,7 +223,7 @@ def fit_rows(rows: Rows, start: np.ndarray, scales: np.ndarray, tau: float, most
         trace += lower.trace
         best = lower
     best.trace = trace
-    return best
+    return _settled(rows, best, d, l1)
 
 
 def _value(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> tuple[float, float]:
@@ -236,22 +236,29 @@ def _value(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> tupl
     return objective(theta, sigma, ssr, len(r), d, l1), sigma
 
 
-def _curvature(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Free entries (those not held at 0), eigenvalues and eigenvectors of the objective's second derivatives at its best noise, by central differences
-    of the gradient."""
-    use = _used(rows, len(theta))
-    free = use[(l1[use] == 0) | (theta[use] != 0)]
+def _slope(rows: Rows, theta: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Gradient of the objective's smooth part at its best noise."""
+    ssr, g = rows.gradient(theta, 1.0)
+    g[np.setdiff1d(np.arange(len(theta)), _used(rows, len(theta)))] = 0.0
+    return g / best_sigma(ssr, len(rows.y)) ** 2 + d * theta
 
-    def slope(x: np.ndarray) -> np.ndarray:
-        ssr, g = rows.gradient(x, 1.0)
-        return (g / best_sigma(ssr, len(rows.y)) ** 2 + d * x)[free]
 
+def _hessian(rows: Rows, theta: np.ndarray, d: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Second derivatives of the objective's smooth part at its best noise, by central differences of the gradient."""
     h = np.zeros((len(free), len(free)))
     for k, at in enumerate(free):
         step = np.zeros(len(theta))
         step[at] = 1e-5 * max(1.0, abs(theta[at]))
-        h[k] = (slope(theta + step) - slope(theta - step)) / (2 * step[at])
-    return (free, *np.linalg.eigh((h + h.T) / 2)) if len(free) and np.isfinite(h).all() else None
+        h[k] = (_slope(rows, theta + step, d) - _slope(rows, theta - step, d))[free] / (2 * step[at])
+    return (h + h.T) / 2
+
+
+def _curvature(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Free entries (those not held at 0), eigenvalues and eigenvectors of the objective's second derivatives at its best noise."""
+    use = _used(rows, len(theta))
+    free = use[(l1[use] == 0) | (theta[use] != 0)]
+    h = _hessian(rows, theta, d, free)
+    return (free, *np.linalg.eigh(h)) if len(free) and np.isfinite(h).all() else None
 
 
 def least_curvature(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> float | None:
@@ -317,10 +324,51 @@ def _descend(rows: Rows, start: np.ndarray, scales: np.ndarray, tau: float, most
         still = still + 1 if gain <= 1e-13 * (1 + abs(value)) else 0
         if still >= 3:
             break
+    return _judged(rows, theta, d, l1, rounds, trace)
+
+
+def _residual(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray) -> tuple[float, float, float]:
+    """Optimality residual and objective at the best noise, and that noise."""
+    value, sigma = _value(rows, theta, d, l1)
     ssr, g = rows.gradient(theta, sigma)
-    g[np.setdiff1d(np.arange(len(d)), use)] = 0.0
-    kkt = kkt_residual(theta, sigma, g, ssr, n, d, l1)
-    return _fit(theta, sigma, s, value, kkt, rounds, "ok" if kkt < 1e-3 * max(1.0, float(np.abs(jac.T @ rows.y).max()) / sigma**2 / n) else "not converged", trace)
+    g[np.setdiff1d(np.arange(len(d)), _used(rows, len(d)))] = 0.0
+    return kkt_residual(theta, sigma, g, ssr, len(rows.y), d, l1), value, sigma
+
+
+def _judged(rows: Rows, theta: np.ndarray, d: np.ndarray, l1: np.ndarray, rounds: int, trace: list[float]) -> Fit:
+    kkt, value, sigma = _residual(rows, theta, d, l1)
+    scale = float(np.abs(rows.mean(theta)[1].T @ rows.y).max()) / sigma**2 / len(rows.y)
+    return _fit(theta, sigma, len(rows.s), value, kkt, rounds, "ok" if kkt < 1e-3 * max(1.0, scale) else "not converged", trace)
+
+
+#: The residual that a fit is settled at, and the Newton steps tried for it.
+SETTLED, SETTLING = 1e-7, 20
+
+
+def _settled(rows: Rows, fit: Fit, d: np.ndarray, l1: np.ndarray) -> Fit:
+    """Newton steps with the objective's own second derivatives, each kept if it lowers the residual and doesn't raise the objective. The descent
+    goes by the objective, whose rounding hides a step's gain while the gradient is still far from 0: the more so the more rows there are and the
+    smaller the noise is."""
+    theta = np.concatenate([[fit.k, fit.m], fit.delta, fit.beta])
+    kkt, value, _ = _residual(rows, theta, d, l1)
+    use, rounds = _used(rows, len(d)), 0
+    while rounds < SETTLING and kkt > SETTLED:
+        slope = _slope(rows, theta, d)
+        free = use[(l1[use] == 0) | (theta[use] != 0) | (np.abs(slope[use]) > l1[use])]
+        h = _hessian(rows, theta, d, free)
+        if not np.isfinite(h).all() or np.linalg.eigvalsh(h)[0] <= 0:
+            break
+        goal = signed_quadratic(h, slope[free] - h @ theta[free], l1[free], theta[free])
+        for k in range(8):
+            new = theta.copy()
+            new[free] = goal if k == 0 else theta[free] + 0.5**k * (goal - theta[free])
+            found = _residual(rows, new, d, l1)
+            if found[0] < kkt and found[1] <= value + 1e-12 * (1 + abs(value)):
+                break
+        else:
+            break
+        theta, kkt, value, rounds = new, found[0], found[1], rounds + 1
+    return _judged(rows, theta, d, l1, fit.iterations + rounds, fit.trace) if rounds else fit
 
 
 def smooth_hessian(jac: np.ndarray, sigma: float, d: np.ndarray) -> np.ndarray:

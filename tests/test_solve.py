@@ -85,6 +85,21 @@ def test_row_kernel_recovers(growth, multiplicative):
         assert found.k == 0 and not found.delta.any()
 
 
+@pytest.mark.parametrize(("noise", "seed"), [(0.08, 1), (0.01, 1), (0.01, 4)])
+def test_logistic_fits_settle(noise, seed):
+    """Series without growth: the objective is so flat that its rounding hides the last steps' gain."""
+    n, r = 2500, np.random.default_rng(seed)
+    t = np.linspace(0, 1, n)
+    x = np.column_stack([f(j * 2 * np.pi * n / 7 * t) for j in (1, 2, 3) for f in (np.sin, np.cos)])
+    rows = S.Rows(t, 0.6 + noise * r.standard_normal(n), x, np.linspace(0, 0.8, 6)[1:], "logistic", np.zeros(6), np.full(n, 1.25))
+    found = S.fit_rows(rows, np.r_[0.2, 0.4, np.zeros(11)], np.full(6, 10.0), 0.05)
+    theta = np.r_[found.k, found.m, found.delta, found.beta]
+    d, l1 = S.priors({"tau": 0.05}, 5, np.full(6, 10.0))
+    ssr, gradient = rows.gradient(theta, found.sigma)
+    assert found.status == "ok" and S.kkt_residual(theta, found.sigma, gradient, ssr, n, d, l1) < 1e-6
+    assert np.isclose(S.objective(theta, found.sigma, ssr, n, d, l1), -found.lp, rtol=1e-12) and S.least_curvature(rows, theta, d, l1) > -1e-6
+
+
 def test_no_point_nearby_is_better():
     rows, _ = series(n=80)
     z = np.column_stack([rows.t, np.ones(80), rows.hinge, rows.x])
