@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    give_back_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,6 +106,23 @@ def give_back() -> None:
         pass
 
 
+def give_back_driver(spark: SparkSession) -> str | None:
+    """Returns the driver's free memory to the system, that of its Python and that which the C library holds for the JVM: its compilers take and free much
+    for the code of every new plan, and a long chain of plans would pile it up beside a heap that is bounded. What the JVM says of it, or None if it has no such command."""
+    give_back()
+    try:
+        gateway = spark.sparkContext._gateway
+        jvm = gateway.jvm
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # the server's own class is not open to callers, its interface is
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        values = gateway.new_array(jvm.java.lang.Object, 4)
+        values[0], values[1] = name, "systemTrimNativeHeap"
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # an older Java, or another system
+        return None
+
+
 def bounded(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices batches to about ``most`` bytes each, and gives unused memory back after each batch."""
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from . import _text as T
-from ._spark import bounded
+from ._spark import bounded, give_back_driver
 
 #: Sentence ends.
 _STOPS = np.zeros(256, bool)
@@ -194,7 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, op: ToxicityFit = ToxicityFit()) -
     if not bounded_ids:
         return fit([], [], op)
     rows = of(bounded_ids, F.col("text")).orderBy("doc_id").select("value", "y").toArrow()
-    return fit(rows.column("value").combine_chunks(), rows.column("y").to_pylist(), op)
+    model = fit(rows.column("value").combine_chunks(), rows.column("y").to_pylist(), op)
+    del rows
+    give_back_driver(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, with_sentences: bool = True) -> DataFrame:
