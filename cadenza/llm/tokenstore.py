@@ -36,8 +36,10 @@ from ._spark import bounded, parts_for, scratch
 
 #: Bytes of Catalyst's size estimate a part.
 PART_BYTES = 24 << 20
-#: Pieces kept by a worker, and characters of texts that are encoded whole at a time.
-_CACHE, _AT_ONCE = 100_000, 1 << 18
+#: Pieces kept by a worker, bytes of the longest that is kept, and characters of texts that are encoded whole at a time.
+_CACHE, _LONGEST, _AT_ONCE = 600_000, 64, 1 << 18
+#: Unknown pieces a text that the tokenizer gets; the longer a text, the slower.
+_TEXT = 64
 #: Characters of a text that deal rows of one id.
 _DEALT = 32
 #: Blanks that stand beside white space or at a text's border.
@@ -55,6 +57,8 @@ class Encoder:
     pieces are looked up, the unknown ones are encoded together (a led piece's first token is the only one that starts with
     the blank's byte symbol), and the texts' ids are gathered from the pieces' by position. Texts with other blanks, and those that
     hold one of the vocabulary's added tokens, which the tokenizer looks for before anything else, are encoded on their own.
+
+    Known pieces and their ids are two Arrow columns, some 40 bytes a piece; of more than ``_CACHE`` the half used in most batches stays.
     """
 
     def __init__(self, path: str, end: int = 0, special_as_text: bool = False) -> None:
@@ -72,7 +76,7 @@ class Encoder:
         for token, k in self.tokenizer.get_vocab().items():
             self.leads[k] = token.startswith("Ġ")
         self.end = np.array([end], self.dtype).tobytes()
-        self.led: dict[str, bytes] = {}
+        self.pieces, self.ids, self.uses = pa.array([""]), pa.array(self._each([" "]), pa.large_binary()), np.ones(1, np.int32)
 
     def _each(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -84,26 +88,47 @@ class Encoder:
             at = to
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Pieces behind a blank as they are, pieces behind a letter with \x01 in front. The latter are encoded behind a letter too, whose
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of pieces: those behind a blank as they are, those behind a letter with \x01 in front. The latter are encoded behind a letter too, whose
         only token is then left out."""
-        width, letter = self.width, self._each([" a"])[0]
+        width, letter, led = self.width, self._each([" a"])[0], {"": self._each([" "])[0]}
         for bare in (False, True):
             kind = [w for w in words if w and (w[0] == "\x01") == bare]
             joint, odd = (kind, []) if len(letter) == width or not bare else ([], kind)
             for at in range(0, len(joint), 8192):
                 some = joint[at : at + 8192]
-                text = " a" + " a".join([w[1:] for w in some]) if bare else " " + " ".join(some)
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+                texts = [some[k : k + _TEXT] for k in range(0, len(some), _TEXT)]
+                texts = [" a" + " a".join([w[1:] for w in x]) if bare else " " + " ".join(x) for x in texts]
+                ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
                 starts = np.flatnonzero(self.leads[ids])
                 if len(starts) != len(some):  # not a byte-level vocabulary of the expected kind
                     odd += some
                     continue
                 raw, skip = ids.tobytes(), width * bare
                 cuts = [*(starts * width).tolist(), len(raw)]
-                self.led.update((w, raw[a + skip : b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-            self.led.update(zip(odd, self._each([w[1:] if bare else " " + w for w in odd]), strict=True))
-        self.led[""] = self._each([" "])[0]
+                led.update((w, raw[a + skip : b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+            led.update(zip(odd, self._each([w[1:] if bare else " " + w for w in odd]), strict=True))
+        return [led[w] for w in words]
+
+    def _looked_up(self, words: pa.Array, used: np.ndarray) -> pa.Array:
+        """The ids of distinct pieces, whatever they are of those not used."""
+        found = pc.index_in(words, self.pieces)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        at = found.fill_null(0).to_numpy().copy()
+        self.uses[at[known]] += 1
+        unknown = np.flatnonzero(used & ~known)
+        new = words.take(pa.array(unknown))
+        ids = pa.array(self._learn(new.to_pylist()), pa.large_binary())
+        at[unknown] = len(self.pieces) + np.arange(len(unknown))
+        out = pa.concat_arrays([self.ids, ids]).take(pa.array(at))
+        short = pc.less_equal(pc.binary_length(new), _LONGEST)
+        self.pieces = pa.concat_arrays([self.pieces, new.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, ids.filter(short)])
+        self.uses = np.append(self.uses, np.ones(len(self.pieces) - len(self.uses), np.int32))
+        if len(self.pieces) > _CACHE:
+            kept = np.sort(np.argsort(-self.uses, kind="stable")[: max(1, _CACHE // 2)])
+            self.pieces, self.ids, self.uses = self.pieces.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.uses[kept] // 2
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, the end id behind each text, and the texts' numbers of ids."""
@@ -118,32 +143,22 @@ class Encoder:
         offs = lists.offsets.to_numpy().astype(np.int64)
         offs -= offs[0]
         coded = lists.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy(), coded.dictionary
         rest = np.ones(len(codes), bool)
         rest[offs[:-1]] = False
         used = np.zeros(len(words), bool)
         used[codes[rest]] = True
-        words = [w if u else "" for w, u in zip(words, used.tolist(), strict=True)]
-        self._learn(list(set(words).difference(self.led)))
-        pool = [*map(self.led.__getitem__, words), self.end]
         heads = self._each(lists.flatten().take(pa.array(offs[:-1])).to_pylist())
-        pool += [whole.get(k, h) for k, h in enumerate(heads)]
-        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // self.width
-        begins = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(pool), self.dtype)
+        own = pa.array([self.end, *(whole.get(k, h) for k, h in enumerate(heads))], pa.large_binary())
         n = len(column)
         piece = np.empty(len(codes) + n, np.int64)
-        at = np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offs))
-        piece[at] = codes
+        piece[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offs))] = codes
         piece[offs[:-1] + np.arange(n)] = len(words) + 1 + np.arange(n)
         ends = offs[1:] + np.arange(n)
         piece[ends] = len(words)
-        counts = sizes[piece]
-        lengths = np.diff(np.append(0, np.cumsum(counts)[ends]))
-        ids = flat[T.ranges(begins[piece], counts)]
-        if len(self.led) > _CACHE:  # frequent words are in the last batch too
-            self.led = {w: self.led[w] for w in words}
-        return ids, lengths
+        _, cuts, data = pa.concat_arrays([self._looked_up(words, used), own]).take(pa.array(piece)).buffers()
+        cuts = np.frombuffer(cuts, np.int64)[: len(piece) + 1] // self.width
+        return np.frombuffer(data, self.dtype)[: cuts[-1]], np.diff(np.append(0, cuts[ends + 1]))
 
 
 _encoders: dict[tuple[str, int, bool], Encoder] = {}
