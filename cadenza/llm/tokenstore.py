@@ -36,6 +36,9 @@ from ._spark import bounded, parts_for, scratch
 
 #: Bytes of Catalyst's size estimate a part.
 PART_BYTES = 24 << 20
+#: Parts whose index rows share a file, where there are more parts than cores. On local disks Hadoop starts a process for every file it makes, and one
+#: more for its checksum.
+INDEX_PARTS = 16
 #: Pieces kept by a worker, bytes of the longest that is kept, and characters of texts that are encoded whole at a time.
 _CACHE, _LONGEST, _AT_ONCE = 600_000, 64, 1 << 18
 #: Unknown pieces a text that the tokenizer gets; the longer a text, the slower.
@@ -216,7 +219,10 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, part
             if out is not None:
                 out.close()
 
-    rows.mapInArrow(write, "part int, file string, width int, position long, doc_id long, n_tokens long, local_start long").write.parquet(f"{folder}/docs")
+    written = rows.mapInArrow(write, "part int, file string, width int, position long, doc_id long, n_tokens long, local_start long")
+    # All of a part's rows go to one task, hence come from one attempt of the task that wrote the part.
+    n_files = min(n_parts, max(spark.sparkContext.defaultParallelism, n_parts // INDEX_PARTS))
+    written.repartition(n_files, F.col("part") % n_files).sortWithinPartitions("part", "position").write.parquet(f"{folder}/docs")
     index = spark.read.parquet(f"{folder}/docs")
     parts = index.groupBy("part", "file", "width").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -254,7 +260,7 @@ def _write_offsets(index: DataFrame, parts: DataFrame, folder: str, tasks: int)
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*named, strict=True)], ["file", "offsets"])
 
-    rows.mapInArrow(write, "file string, offsets string").write.parquet(f"{folder}/named")
+    rows.mapInArrow(write, "file string, offsets string").repartition(1).write.parquet(f"{folder}/named")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,3 +37,16 @@ def test_few_pieces_kept(monkeypatch):
         assert 0 < len(enc.pieces) == len(enc.ids) == len(enc.uses) <= 40
         assert long not in enc.pieces.to_pylist()
     assert "two" in enc.pieces.to_pylist()  # of every batch
+
+
+def test_the_index_is_in_few_files(spark):
+    folder = tokenstore.scratch(spark, "tokens")
+    docs = spark.range(3000).selectExpr("id doc_id", "concat('text of ', id) text")
+    tokenstore.write_store(docs, folder, queries.tokenizer_path(), part_bytes=1_000)
+    parts = spark.read.parquet(f"{folder}/manifest").orderBy("part").collect()
+    assert len(parts) > 20
+    index = spark.read.parquet(f"{folder}/docs")
+    assert len(index.inputFiles()) <= max(4, len(parts) // tokenstore.INDEX_PARTS)
+    assert len(spark.read.parquet(f"{folder}/named").inputFiles()) == 1
+    assert [r.doc_id for r in index.orderBy("part", "position").collect()] == list(range(3000))
+    assert [r.n_docs for r in parts] == [r["count"] for r in index.groupBy("part").count().orderBy("part").collect()]
