@@ -67,6 +67,12 @@ def dealt(docs: DataFrame, each: int = 32 << 20) -> DataFrame:
     return docs.repartition(cores)
 
 
+def in_few_files(rows: DataFrame, least: int = 1) -> DataFrame:
+    """Short rows dealt to a part a core, or to ``least`` if that is more. On local disks Hadoop starts a process for every file that is made, and one more for
+    its checksum; a join's parts would make hundreds."""
+    return rows.repartition(max(least, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def shuffle_parts(df: DataFrame, each: int) -> int:
     """Parts of about ``each`` bytes, and at least the session's number of shuffle partitions."""
     return parts_for(df, each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

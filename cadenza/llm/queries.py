@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import dealt, table
+from ._spark import dealt, in_few_files, parts_for, table
 from .chat import TURNS, canonical_turns, digests, format_turns
 from .decontam import leaks
 from .mixing import mixed
@@ -17,6 +17,9 @@ from .subdedup import dedup_substrings
 from .tokenstore import tokenized
 from .toxicity import flag
 
+#: Bytes of texts whose short result rows make one file.
+RESULT_BYTES = 512 << 20
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The public vocabulary file's place; a parameter of the operator, looked up here only."""
@@ -68,5 +71,6 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_substrings(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    kept = dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return in_few_files(kept, parts_for(docs, RESULT_BYTES))

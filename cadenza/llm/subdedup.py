@@ -32,6 +32,8 @@ from ._spark import bounded, parts_for, stored
 
 #: Bytes of the input's size estimate a bucket.
 BUCKET_BYTES = 3 << 20
+#: Buckets of minimisers whose rows share a file, where that leaves four files a core.
+FILE_BUCKETS = 16
 #: Heavy minimisers' windows held by a task before they are sent.
 COMMON = 50_000
 
@@ -245,7 +247,8 @@ def repeated_spans(docs: DataFrame, op: SubDedup = SubDedup()) -> DataFrame:
     docs = docs.select(key, F.col("text").cast("string").cast("binary").alias("text"))
     real = docs.where("doc_id is not null and text is not null")
     buckets = parts_for(docs, BUCKET_BYTES, 128)
-    found = stored(_minimisers(real, op, buckets), "minimisers")
+    files = max(4 * docs.sparkSession.sparkContext.defaultParallelism, buckets // FILE_BUCKETS)
+    found = stored(_minimisers(real, op, buckets).coalesce(files), "minimisers")
     heavy = found.where("heavy").select("hash", F.lit(True).alias("is_heavy")).distinct()
     found = found.where("not heavy").select("doc_id", "hash", "start", "n").join(heavy, "hash", "left")
     item = F.struct("hash", "start", "n", F.coalesce("is_heavy", F.lit(False)).alias("heavy"))
